@@ -3,7 +3,9 @@
 from .bpe import op4_bpe
 from .chat import op9_chat
 from .flac import op1_flac
+from .mixing import op2_mixing
+from .quality import op7_quality
 
-QUERIES = {"op1_flac": op1_flac, "op4_bpe": op4_bpe, "op9_chat": op9_chat}
+QUERIES = {"op1_flac": op1_flac, "op2_mixing": op2_mixing, "op4_bpe": op4_bpe, "op7_quality": op7_quality, "op9_chat": op9_chat}
 
 SQL: dict[str, str] = {}
