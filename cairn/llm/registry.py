@@ -5,7 +5,8 @@ from .chat import op9_chat
 from .flac import op1_flac
 from .mixing import op2_mixing
 from .quality import op7_quality
+from .simhash import op6_simhash
 
-QUERIES = {"op1_flac": op1_flac, "op2_mixing": op2_mixing, "op4_bpe": op4_bpe, "op7_quality": op7_quality, "op9_chat": op9_chat}
+QUERIES = {"op1_flac": op1_flac, "op2_mixing": op2_mixing, "op4_bpe": op4_bpe, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op9_chat": op9_chat}
 
 SQL: dict[str, str] = {}
