@@ -6,7 +6,8 @@ from .flac import op1_flac
 from .mixing import op2_mixing
 from .quality import op7_quality
 from .simhash import op6_simhash
+from .substrings import op10_substrings
 
-QUERIES = {"op1_flac": op1_flac, "op2_mixing": op2_mixing, "op4_bpe": op4_bpe, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op9_chat": op9_chat}
+QUERIES = {"op1_flac": op1_flac, "op2_mixing": op2_mixing, "op4_bpe": op4_bpe, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op9_chat": op9_chat, "op10_substrings": op10_substrings}
 
 SQL: dict[str, str] = {}
