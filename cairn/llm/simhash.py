@@ -1,16 +1,21 @@
 """SimHash near-duplicates by the generalised pigeonhole principle (operator 6).
 
 `fingerprints` makes 64-bit SimHash values of word shingles.  `plan` splits the 64 bits into partitions: correlated bits go together, so
-that partitions are as independent of each other as they can be, and thresholds t_1 .. t_m with sum(t) = RADIUS - m + 1 are allocated by
-dynamic programming on estimated candidate counts (t = -1: a partition is not probed).  Two fingerprints within RADIUS bits agree within
+that partitions are as independent of each other as they can be, and thresholds t_1 .. t_m with sum(t) = radius - m + 1 are allocated by
+dynamic programming on estimated candidate counts (t = -1: a partition is not probed).  Two fingerprints within the radius agree within
 t_i bits in some partition i; `links` probes these and verifies each candidate.
 
+A partition with threshold 1 or 2 is probed at one bit from both sides.
+
 The estimates come from a sample of SAMPLE distinct fingerprints; the plan decides the cost alone, never the result.
 
 Equal fingerprints are one node from the start.  A bucket that holds over CROWD distinct fingerprints - a large family of near copies, or
-bits that hardly vary - is not compared by pairs: each of its fingerprints is dealt out under itself and its 64 neighbours at one bit.
-Two fingerprints are within 2 bits if and only if they meet under some number, and no more than 65 can meet, so hot buckets cost time
-in proportion to their size.
+bits that hardly vary - is not compared by pairs: each of its fingerprints is dealt out under itself and its neighbours within half the
+radius.  Two fingerprints are within the radius if and only if they meet under some number, and only so many can meet (65 for radius 2,
+2081 for radius 4), so hot buckets cost time in proportion to their size.  The radius is even.
+
+The query links fingerprints of words in threes at 2 bits.  `deduplicate` takes words in fives and 4 bits, which stands for a similarity
+of over 0.9: texts of similarity 0.8 lie about 10 bits apart, a radius that no exact probing can afford on 64 bits.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint 0, which links like any other; a text with fewer words
 than a shingle counts as one shingle; null ids don't count as the smallest id of a component, which is null if it has no other; repeated
@@ -33,7 +38,9 @@ from .common import fresh, spool, table, unspool, whole
 from .components import components, forest
 
 WORDS, SEED, RADIUS = 3, 42, 2
-SAMPLE, CROWD, MOST_PARTS = 3000, 128, 4
+SAMPLE, CROWD, MOST_PARTS, MOST_T = 3000, 128, 6, 2
+#: Words of a shingle and radius of near-duplicates, where no contract says otherwise.
+NEAR_WORDS, NEAR_RADIUS = 5, 4
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -88,42 +95,42 @@ def mask_of(part: list[int]) -> int:
 
 
 def candidate_rates(sample: np.ndarray, part: list[int]) -> list[float]:
-    """Estimated shares of pairs that differ in at most 0, 1 .. RADIUS bits of a partition: the sample's, or what independent bits would
+    """Estimated shares of pairs that differ in at most 0, 1 .. MOST_T bits of a partition: the sample's, or what independent bits would
     give if that is more."""
     s = sample & np.uint64(mask_of(part))
-    rates = np.zeros(RADIUS + 1)
+    rates = np.zeros(MOST_T + 1)
     pairs = max(1, len(s) * (len(s) - 1) // 2)
     for i in range(len(s) - 1):
         d = np.bitwise_count(s[i + 1 :] ^ s[i])
-        rates += [(d <= t).sum() for t in range(RADIUS + 1)]
+        rates += [(d <= t).sum() for t in range(MOST_T + 1)]
     bits = (sample[:, None] >> np.array(part, np.uint64) & np.uint64(1)).mean(0) if len(sample) else np.full(len(part), 0.5)
     differ = np.zeros(len(part) + 1)
     differ[0] = 1
     for p in 2 * bits * (1 - bits):
         differ[1:] = differ[1:] * (1 - p) + differ[:-1] * p
         differ[0] *= 1 - p
-    return np.maximum(rates / pairs, np.cumsum(differ)[: RADIUS + 1]).tolist()
+    return np.maximum(rates / pairs, np.cumsum(differ)[: MOST_T + 1]).tolist()
 
 
 def keys_for(width: int, t: int) -> int:
-    """Rows that a fingerprint becomes in a partition with threshold t; both sides of a pair move by half of t, rounded up."""
+    """Rows that a fingerprint becomes in a partition with threshold t."""
     return 0 if t < 0 else 1 if t == 0 else 1 + width
 
 
 def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
-    """Thresholds from -1 to RADIUS, one for each partition, that sum up to total at least cost; costs[i][t + 1]."""
+    """Thresholds from -1 to MOST_T, one for each partition, that sum up to total at least cost; costs[i][t + 1]."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for c in costs:
         new: dict[int, tuple[float, list[int]]] = {}
         for s, (cost, ts) in best.items():
-            for t in range(-1, RADIUS + 1):
+            for t in range(-1, MOST_T + 1):
                 if s + t not in new or cost + c[t + 1] < new[s + t][0]:
                     new[s + t] = (cost + c[t + 1], [*ts, t])
         best = new
-    return best[total]
+    return best.get(total, (float("inf"), []))
 
 
-def plan(sample: np.ndarray, n: int) -> list[tuple[list[int], int]]:
+def plan(sample: np.ndarray, n: int, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the partitions to probe among n distinct fingerprints, by estimated rows and candidate pairs."""
     choices = []
     for m in range(1, MOST_PARTS + 1):
@@ -131,19 +138,20 @@ def plan(sample: np.ndarray, n: int) -> list[tuple[list[int], int]]:
         costs = []
         for p in parts:
             rates = candidate_rates(sample, p)
-            costs.append([0.0] + [20.0 * n * keys_for(len(p), t) + rates[t] * n * n / 2 * (1 + (t > 0)) for t in range(RADIUS + 1)])
-        cost, ts = allocate(costs, RADIUS - m + 1)
+            costs.append([0.0] + [20.0 * n * keys_for(len(p), t) + rates[MOST_T * (t > 0)] * n * n / 2 for t in range(MOST_T + 1)])
+        cost, ts = allocate(costs, radius - m + 1)
         choices.append((cost, m, [(p, t) for p, t in zip(parts, ts) if t >= 0]))
     return min(choices)[2]
 
 
-def flips(value: F.Column, bits: list[int]) -> F.Column:
-    """The value and those that differ from it in one of the bits."""
-    signed = [(1 << b) - (1 << 64 if b == 63 else 0) for b in bits]
-    return F.transform(F.array(F.lit(0).cast("long"), *(F.lit(x).cast("long") for x in signed)), lambda x: value.bitwiseXOR(x))
+def flips(value: F.Column, bits: list[int], most: int = 1) -> F.Column:
+    """The value and those that differ from it in at most `most` of the bits."""
+    masks = [mask_of(list(c)) for k in range(most + 1) for c in itertools.combinations(bits, k)]
+    text = ",".join(f"{m - (1 << 64 if m >> 63 else 0)}" for m in masks)
+    return F.transform(F.split(F.lit(text), ",").cast("array<bigint>"), lambda x: value.bitwiseXOR(x))
 
 
-def spans_of(groups: DataFrame) -> DataFrame:
+def spans_of(groups: DataFrame, radius: int) -> DataFrame:
     """Verified links of each row's fingerprints, as a forest: (a, b) with at most a link for each fingerprint."""
 
     def run(batches):
@@ -154,11 +162,11 @@ def spans_of(groups: DataFrame) -> DataFrame:
             out_a, out_b = [], []
             two = at[:-1][sizes == 2]  # most have two
             a, b = flat[two], flat[np.minimum(two + 1, len(flat) - 1)]
-            near = np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS
+            near = np.bitwise_count((a ^ b).view(np.uint64)) <= radius
             out_a.append(a[near]), out_b.append(b[near])
             for i in np.flatnonzero(sizes > 2).tolist():
                 v = flat[at[i] : at[i + 1]]
-                x, y = np.nonzero(np.triu(np.bitwise_count((v[:, None] ^ v[None, :]).view(np.uint64)) <= RADIUS, 1))
+                x, y = np.nonzero(np.triu(np.bitwise_count((v[:, None] ^ v[None, :]).view(np.uint64)) <= radius, 1))
                 if len(x):
                     a, b = forest(v[x], v[y])
                     out_a.append(a), out_b.append(b)
@@ -169,11 +177,11 @@ def spans_of(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): links among distinct fingerprints nodes(fp) whose components are those of all pairs within RADIUS bits."""
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links among distinct fingerprints nodes(fp) whose components are those of all pairs within `radius` bits."""
     n = nodes.count()
     rows = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    chosen = plan(np.array([r[0] for r in rows], np.int64).view(np.uint64), n)
+    chosen = plan(np.array([r[0] for r in rows], np.int64).view(np.uint64), n, radius)
     probes = []
     for i, (bits, t) in enumerate(chosen):
         own = F.col("fp").bitwiseAND(F.lit(mask_of(bits) - (1 << 64 if 63 in bits else 0)).cast("long"))
@@ -184,20 +192,20 @@ def links(nodes: DataFrame) -> DataFrame:
     met = spool(dealt.join(many, ["part", "key"]))
     usual = met.filter(F.col("n") <= CROWD).groupBy("part", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
     crowded = met.filter(F.col("n") > CROWD).select("fp").distinct()
-    near = crowded.select("fp", F.explode(flips(F.col("fp"), list(range(64)))).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").filter(F.size("fps") > 1)
-    out = spool(spans_of(usual.union(near)).distinct())
+    near = crowded.select("fp", F.explode(flips(F.col("fp"), list(range(64)), radius // 2)).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").filter(F.size("fps") > 1)
+    out = spool(spans_of(usual.union(near), radius).distinct())
     unspool(met)
     return out
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(k1, k2, doc_id, fp, component_id, stays) for each row of df: k1 and k2 hash id and text; of each component one pair of them stays,
     that of the smallest id."""
     ids = df.select(F.xxhash64(doc_id, whole(text)).alias("k1"), F.xxhash64(F.lit(1), whole(text), doc_id).alias("k2"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = spool(fingerprints(ids))
+    rows = spool(fingerprints(ids, words=words))
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     nodes = spool(rows.groupBy("fp").agg(F.min(lead).alias("lead")))
-    tree = components(links(nodes.select("fp")))
+    tree = components(links(nodes.select("fp"), radius))
     rooted = nodes.join(tree, F.col("fp") == F.col("a"), "left").select("fp", "lead", F.coalesce("b", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("lead").alias("first"))
     of = rooted.select("fp", "root").join(first, "root").select("fp", "first")
@@ -206,9 +214,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     return out.select("k1", "k2", "doc_id", "fp", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
 
 
-def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = NEAR_WORDS, radius: int = NEAR_RADIUS) -> DataFrame:
     """The rows of df, one of each component of near-duplicates: the one with the smallest id."""
-    stay = near_duplicates(df, text, doc_id).filter("stays").select(F.col("k1").alias("_s1"), F.col("k2").alias("_s2")).distinct()
+    stay = near_duplicates(df, text, doc_id, words, radius).filter("stays").select(F.col("k1").alias("_s1"), F.col("k2").alias("_s2")).distinct()
     row = df.select(F.struct(*df.columns).alias("_row"), F.xxhash64(doc_id, whole(text)).alias("_k1"), F.xxhash64(F.lit(1), whole(text), doc_id).alias("_k2"))
     kept = row.join(stay, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")), "left_semi")
     w = Window.partitionBy("_k1", "_k2").orderBy("_k1", "_k2")
