@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..camera import PRESETS
 from ..functions import expr
-from ..operators import layout, nearest, raster, tree
+from ..operators import compress, layout, nearest, raster, tree
 from ..points import BATCH, BOX, CHAIN, points, world_points
 from ..sources import procedural
+from ..streaming import progressive
+from ..workspace import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -559,3 +562,60 @@ def radius_points(spark, sf_dir):
 select i as point_id, round((u - 5e-1) * 1e2, 6) as x, round((v - 5e-1) * 1e2, 6) as y, round(cos(2e0 * sqrt(((u - 5e-1) * 1e1) * ((u - 5e-1) * 1e1) + ((v - 5e-1) * 1e1) * ((v - 5e-1) * 1e1))), 6) as z from p""")
 def procedural_surface(spark, sf_dir):
     return procedural.height_field(spark, 256).select("point_id", *(F.round(a, 6).alias(a) for a in "xyz"))
+
+
+# codecs and streams
+
+
+@query(f"with {POINTS} select point_id, ix, iy, iz from points")
+def codec_roundtrip(spark, sf_dir):
+    out = compress.decompress(compress.compress(points(spark, sf_dir)))
+    return out.select("point_id", *(F.col(a.upper()).alias(f"i{a}") for a in "xyz"))
+
+
+@query(f"with {POINTS}, {projected_sql(CAM)}, {nearest_sql()} select pixel_id, round(depth, 4) as depth, point_id from fb")
+def raster_compressed(spark, sf_dir):
+    rows = compress.decompress(compress.compress(points(spark, sf_dir)))
+    return raster.nearest(raster.projected(world_points(rows), CAM)).select("pixel_id", F.round("depth", 4).alias("depth"), "point_id")
+
+
+@query()
+def codec_sizes(spark, sf_dir):
+    return compress.sizes(compress.compress(points(spark, sf_dir)))
+
+
+@query()
+def codec_ratio(spark, sf_dir):
+    return compress.ratios(compress.compress(points(spark, sf_dir)))
+
+
+@query(f"""with blocks as (select (l_orderkey * 7919 % 1048576) * 4294967296 + (l_partkey * 31 % 65536) * 65536 + l_suppkey * 17 % 65536 as block, l_linenumber as texel, l_orderkey, l_partkey from lineitem),
+parts as (select *, block & 65535 as a, (block >> 16) & 65535 as b, (block >> (32 + 2 * texel)) & 3 as s from blocks),
+ends as (select *, {', '.join(f"((({v} >> {s}) & {(1 << w) - 1}) << {8 - w}) | ((({v} >> {s}) & {(1 << w) - 1}) >> {2 * w - 8}) as {v}{c}" for v in 'ab' for c, s, w in (('r', 11, 5), ('g', 5, 6), ('b', 0, 5)))} from parts)
+select l_orderkey, l_partkey, texel, {', '.join(f"case s when 0 then a{c} when 1 then b{c} when 2 then (2 * a{c} + b{c}) // 3 else (a{c} + 2 * b{c}) // 3 end as {c}" for c in 'rgb')} from ends""")
+def bc1_decode(spark, sf_dir):
+    from ..codec.blocks import decode1_columns
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    block = (F.col("l_orderkey") * 7919 % 1048576) * (1 << 32) + (F.col("l_partkey") * 31 % 65536) * 65536 + F.col("l_suppkey") * 17 % 65536
+    rows = rows.select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("texel"), block.alias("block"))
+    return rows.select("l_orderkey", "l_partkey", "texel", *(v.alias(c) for c, v in zip("rgb", decode1_columns("block", "texel"))))
+
+
+def _stream(spark, sf_dir, result) -> DataFrame:
+    folder, name = workspace(spark, "arriving"), f"stream_{uuid.uuid4().hex}"
+    points(spark, sf_dir).repartitionByRange(4, "point_id").write.parquet(folder)
+    q = progressive.run(result(progressive.arriving(spark, folder)), name, checkpoint=workspace(spark, "progress"))
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query(f"with {POINTS}, {projected_sql(CAM)}, {nearest_sql()} select pixel_id, round(depth, 4) as depth, point_id, rgb from fb")
+def stream_raster(spark, sf_dir):
+    return _stream(spark, sf_dir, lambda s: progressive.image(s, CAM)).withColumn("depth", F.round("depth", 4))
+
+
+@query(f"with {POINTS}, cells as (select *, {', '.join(f'cast(least(2097151, greatest(0, floor(2097152e0 * i{a} / 11000000e0))) as bigint) as g{a}' for a in 'xyz')} from points), codes as (select {spread_sql('gx')} + {spread_sql('gy')} * 2 + {spread_sql('gz')} * 4 as morton from cells), "
+       + "nodes as (" + " union all ".join(f"select cast({i} as bigint) as level, morton >> {3 * (21 - i)} as prefix, count(*) as n from codes group by 2" for i in range(4)) + ") select * from nodes")
+def stream_octree_counts(spark, sf_dir):
+    return _stream(spark, sf_dir, lambda s: progressive.node_counts(s, (0.0, 0.0, 0.0), 11_000_000.0, 3))
