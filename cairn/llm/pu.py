@@ -1,8 +1,8 @@
 """Quality classification from positive and unlabelled text (operator 8).
 
 Trusted texts are the positives; a sample of the whole corpus, whatever its labels, is the unlabelled text.  `prior` estimates the share of
-good texts among the unlabelled: a probe model tells positives from unlabelled ones, and the share is the least ratio of the parts of
-both that score above a threshold, taken with an allowance for chance.  `fit` then minimises the non-negative unbiased risk of a small
+good texts among the unlabelled: probe models tell positives from unlabelled ones, and the share is the least ratio of the parts of
+both that score above a threshold, with an allowance for chance.  `fit` then minimises the non-negative unbiased risk of a small
 network: with prior p, losses l, positives P and unlabelled U it is p * E_P[l(g)] + max(0, E_U[l(-g)] - p * E_P[l(-g)]); where the second
 part would fall below zero, the step goes the other way.  With the logistic loss, the network's output is the log odds of a good text.
 
@@ -89,13 +89,18 @@ def minimise(pos: np.ndarray, unl: np.ndarray, share: float | None) -> list[np.n
 
 
 def prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """The estimated share of positives among the unlabelled: a probe is fitted on one half and its scores compared on the other."""
-    net = minimise(pos[::2], unl[::2], None)
-    p, u = np.sort(forward(net, pos[1::2])[0]), np.sort(forward(net, unl[1::2])[0])
-    cuts = np.quantile(p, np.linspace(0, 0.9, 91))  # thresholds that leave a tenth of the positives at least
+    """The estimated share of positives among the unlabelled: probes are fitted on either half and score the other one.  Above a threshold
+    that most positives pass, the part of the unlabelled that passes is the share times theirs, and more if negatives pass too; so the
+    least ratio counts, with half a standard error added because it is the least of many."""
+    p, u = np.zeros(len(pos)), np.zeros(len(unl))
+    for half in (0, 1):
+        net = minimise(pos[half::2], unl[half::2], None)
+        p[1 - half :: 2], u[1 - half :: 2] = forward(net, pos[1 - half :: 2])[0], forward(net, unl[1 - half :: 2])[0]
+    cuts = np.quantile(p, np.linspace(0.02, 0.3, 60))
+    p, u = np.sort(p), np.sort(u)
     above_p, above_u = (1 - np.searchsorted(s, cuts) / len(s) for s in (p, u))
-    chance = np.sqrt(above_u * (1 - above_u) / len(u)) + np.sqrt(above_p * (1 - above_p) / len(p))
-    return float(np.clip(((above_u + chance) / np.maximum(above_p, 1e-9)).min(), 0.01, 0.99))
+    chance = np.sqrt(above_u * (1 - above_u) / len(u))
+    return float(np.clip(((above_u + chance / 2) / np.maximum(above_p, 1e-9)).min(), 0.01, 0.99))
 
 
 def fit(positive: list[str], unlabelled: list[str]) -> dict | None:
