@@ -543,7 +543,7 @@ def describe(pcm: bytes) -> str:
 def blocks_of(decoded: DataFrame, *keep: str) -> DataFrame:
     """A row for each PCM block, with the offset of its first sample."""
     return decoded.select(*keep, "pcm", "blocks", F.posexplode("blocks").alias("block", "at")).select(
-        *keep, "block", F.col("at.sample").alias("sample"), F.col("at.n").alias("n"), F.expr("substring(pcm, cast(at.byte + 1 as int), cast(coalesce(blocks[block + 1].byte, octet_length(pcm)) - at.byte as int))").alias("pcm"))
+        *keep, "block", F.col("at.sample").alias("sample"), F.col("at.n").alias("n"), F.expr("substring(pcm, cast(at.byte + 1 as int), cast(coalesce(get(blocks, block + 1).byte, octet_length(pcm)) - at.byte as int))").alias("pcm"))
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
