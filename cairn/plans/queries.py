@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..camera import PRESETS
 from ..functions import expr
 from ..operators import compress, layout, nearest, raster, tree
-from ..points import BATCH, BOX, CHAIN, points, world_points
+from ..points import BATCH, BOX, CHAIN, points, raw, world_points
 from ..sources import procedural
 from ..streaming import progressive
 from ..workspace import workspace
@@ -100,6 +100,11 @@ def world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return world_points(points(spark, sf_dir))
 
 
+def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same points without ids, for queries that need none."""
+    return world_points(raw(spark, sf_dir).select("X", "Y", "Z", "r", "g", "b"))
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.batches(world(spark, sf_dir))
 
@@ -126,7 +131,7 @@ def color_pack(spark, sf_dir):
 
 @query(f"with {POINTS} select r + g * 256 + b * 65536 as rgb, r, g, b, count(*) as n from points group by all")
 def color_unpack(spark, sf_dir):
-    rgb = points(spark, sf_dir).groupBy(expr.pack_rgb("r", "g", "b").alias("rgb")).agg(F.count("*").alias("n"))
+    rgb = raw(spark, sf_dir).groupBy(expr.pack_rgb("r", "g", "b").alias("rgb")).agg(F.count("*").alias("n"))
     return rgb.select("rgb", *(v.alias(a) for a, v in zip("rgb", expr.unpack_rgb("rgb"))), "n")
 
 
@@ -214,7 +219,7 @@ def batch_bbox(spark, sf_dir):
 
 @query(f"with {POINTS} select min(ix) as min_x, max(ix) as max_x, min(iy) as min_y, max(iy) as max_y, min(iz) as min_z, max(iz) as max_z from points")
 def whole_bbox(spark, sf_dir):
-    return layout.box(points(spark, sf_dir))
+    return layout.box(raw(spark, sf_dir))
 
 
 def _cull_sql(cam) -> str:
@@ -372,17 +377,17 @@ def raster_min(spark, sf_dir):
 
 @query(f"with {POINTS}, {projected_sql(CAM)} select pixel_id, round(min(depth), 4) as min_depth from projected group by 1")
 def raster_depth(spark, sf_dir):
-    return raster.depths(raster.projected(world(spark, sf_dir), CAM)).withColumn("min_depth", F.round("min_depth", 4))
+    return raster.depths(raster.projected(unnumbered(spark, sf_dir), CAM)).withColumn("min_depth", F.round("min_depth", 4))
 
 
 @query(f"with {POINTS}, {projected_sql(CAM)}, {blend_sql()} select pixel_id, round(min_depth, 4) as min_depth, sum_r, sum_g, sum_b, n, sum_r // n + sum_g // n * 256 + sum_b // n * 65536 as rgb from sums")
 def raster_hqs(spark, sf_dir):
-    return raster.blended(raster.projected(world(spark, sf_dir), CAM)).withColumn("min_depth", F.round("min_depth", 4))
+    return raster.blended(raster.projected(unnumbered(spark, sf_dir), CAM)).withColumn("min_depth", F.round("min_depth", 4))
 
 
 @query(f"with {POINTS}, {projected_sql(CAM)} select pixel_id, count(*) as n, cast(case when n < 10 then 0 when n < 250 then 1 when n < 1000 then 2 when n < 4000 then 3 else 4 end as bigint) as class from projected group by 1")
 def raster_overdraw(spark, sf_dir):
-    return raster.overdraw(raster.projected(world(spark, sf_dir), CAM))
+    return raster.overdraw(raster.projected(unnumbered(spark, sf_dir), CAM))
 
 
 @query(f"with {POINTS}, {projected_sql(CAM)}, {nearest_sql()}, {window_sql('fb', 3)} select target as pixel_id, round(min(depth), 4) as window_depth from near group by 1")
@@ -405,7 +410,7 @@ _MEAN = lambda c: f"cast(sum(weight * sum_{c}) as bigint) // cast(sum(weight * n
 weighted as (select near.*, case when ox = 0 and oy = 0 then 10 when ox <= 1 and oy <= 1 then 2 else 1 end as weight from near join least_depth using (target) where min_depth <= low * 101e-2)
 select target as pixel_id, {_MEAN('r')} + {_MEAN('g')} * 256 + {_MEAN('b')} * 65536 as rgb, count(*) as pixels from weighted group by 1""")
 def raster_resolve_window(spark, sf_dir):
-    return raster.window_blend(raster.blended(raster.projected(world(spark, sf_dir), CAM)), CAM, 2)
+    return raster.window_blend(raster.blended(raster.projected(unnumbered(spark, sf_dir), CAM)), CAM, 2)
 
 
 @query(f"""with {POINTS}, {projected_sql(CAM)}, {nearest_sql()}, around as (select f.pixel_id, f.depth, g.depth as other from fb f left join fb g on abs(g.pixel_id % {CAM.width} - f.pixel_id % {CAM.width}) <= 1
