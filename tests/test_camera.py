@@ -46,3 +46,39 @@ def test_procedural(spark):
     r = procedural.sphere(spark, 16, 2.0).select(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2).alias("r")).distinct().collect()
     assert all(abs(x["r"] - 2) < 1e-9 for x in r)
     assert procedural.tiles(spark, 4, F.lit(500)).count() == 16 * 16
+
+
+def test_points_on_the_edge(spark):
+    """Points on the image's edges, behind the camera, at its eye, and two at one depth."""
+    cam = PRESETS["close"]
+    back = np.linalg.inv(cam.transform())
+    rows = []
+    for i, (x, y) in enumerate([(-1, -1), (1, 0), (0, 1), (0, 0), (0, 0)]):
+        w = 5000.0
+        z = cam.transform()[2] @ np.linalg.inv(cam.transform()) @ np.array([x * w, y * w, 0, w])
+        p = back @ np.array([x * w, y * w, (cam.projection()[2, 2] * -w + cam.projection()[2, 3]) + 0 * z, w])
+        rows.append((i, *map(float, p[:3] / p[3]), i, i, i))
+    rows.append((10, *map(float, cam.eye()), 1, 1, 1))
+    rows.append((11, *map(float, 2 * cam.eye() - np.array(cam.target)), 1, 1, 1))
+    df = spark.createDataFrame(rows, "point_id long, wx double, wy double, wz double, r long, g long, b long")
+    shown = raster.projected(df, cam).collect()
+    assert all(0 <= r["px"] < cam.width and 0 <= r["py"] < cam.height for r in shown) and not {10, 11} & {r["point_id"] for r in shown}
+    middle = [r for r in raster.nearest(raster.projected(df.filter("point_id in (3, 4)").withColumn("wx", F.lit(rows[3][1])).withColumn("wy", F.lit(rows[3][2])).withColumn("wz", F.lit(rows[3][3])), cam)).collect()]
+    assert [r["point_id"] for r in middle] == [3]
+
+
+def test_equal_and_flat_points(spark):
+    """Equal points, and points on a line: boxes without extent."""
+    rows = [(i, 5, 5, 5, 1, 2, 3) for i in range(70)] + [(70 + i, i, 7, 7, 1, 2, 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "point_id long, X long, Y long, Z long, r long, g long, b long")
+    flat = df.filter("point_id < 70")
+    assert layout.morton_sorted(flat).select("morton").distinct().collect()[0][0] == 0
+    d = layout.deltas(df, 64, 16)
+    assert layout.undelta(d).filter("ux <> X or uy <> Y or uz <> Z").count() == 0
+    assert layout.bit_costs(layout.deltas(flat, 128, 64)).first()["delta_bits"] == 70 * 3
+    from cairn.operators import compress, tree
+
+    assert compress.decompress(compress.compress(df, 64)).join(df, ["point_id", "X", "Y", "Z"]).count() == 130
+    assert compress.decompress(compress.compress(df.limit(0))).count() == 0
+    leaf = tree.leaves(tree.prefix_counts(layout.morton_sorted(flat), 3, 21), 10, 3).collect()
+    assert [(r["level"], r["n"]) for r in leaf] == [(3, 70)]
