@@ -254,3 +254,34 @@ def right_pad(v: Num | str, n: int, fill: str = " ") -> Column:
 
 def ends_with(v: Num | str, suffix: str, ignore_case: bool = False) -> Column:
     return F.lower(c(v)).endswith(suffix.lower()) if ignore_case else c(v).endswith(suffix)
+
+
+# vectors
+
+
+def dot(a: Sequence[Num | str], b: Sequence[Num | str]) -> Column:
+    return (c(a[0]) * c(b[0]) + c(a[1]) * c(b[1])) + c(a[2]) * c(b[2])
+
+
+def cross(a: Sequence[Num | str], b: Sequence[Num | str]) -> list[Column]:
+    return [c(a[(i + 1) % 3]) * c(b[(i + 2) % 3]) - c(a[(i + 2) % 3]) * c(b[(i + 1) % 3]) for i in range(3)]
+
+
+def length(a: Sequence[Num | str]) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def normalised(a: Sequence[Num | str]) -> list[Column]:
+    """A vector of length 1; null for one of length 0."""
+    n = length(a)
+    return [F.when(n > 0, c(x) / n) for x in a]
+
+
+def near_cursor(px: Num | str, py: Num | str, at: tuple[float, float], reach: float) -> Column:
+    """Whether a place on the image is within a number of pixels of the cursor."""
+    return F.sqrt(F.pow(c(px) - F.lit(float(at[0])), F.lit(2.0)) + F.pow(c(py) - F.lit(float(at[1])), F.lit(2.0))) < F.lit(float(reach))
+
+
+def debug_color(number: Num | str) -> Column:
+    """A colour that tells neighbouring batches apart."""
+    return (c(number).cast("long") * F.lit(1234567)).bitwiseAND(F.lit(0xFFFFFF))

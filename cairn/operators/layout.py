@@ -130,3 +130,38 @@ def greedy_bins(b: DataFrame, limit: int) -> DataFrame:
     full = f"s.sum + x.num_points > {limit}"
     step = f"named_struct('bin', if({full}, s.bin + 1, s.bin), 'sum', if({full}, 0L, s.sum + x.num_points), 'out', concat(s.out, array(named_struct('batch_id', x.batch_id, 'num_points', x.num_points, 'bin', s.bin))))"
     return rows.select(F.explode(F.expr(f"aggregate(l, {start}, (s, x) -> {step}, s -> s.out)")).alias("x")).select("x.*")
+
+
+def run_shares(run_rows: DataFrame) -> DataFrame:
+    """Lengths of runs, longest first, how many there are of each, and the share of points in runs at least as long.  Runs of a length are
+    counted first, so what is put in order are different lengths."""
+    n = run_rows.groupBy("len").agg(F.count("*").alias("runs"))
+    w = Window.orderBy(F.desc("len"))
+    total = F.sum(F.col("len") * F.col("runs"))
+    return n.withColumn("share", total.over(w) / total.over(Window.partitionBy()))
+
+
+def discard_outliers(df: DataFrame, k: int) -> DataFrame:
+    """Points of each batch without those that differ from the last kept point by a difference that is not among the batch's k most frequent.
+
+    Each decision depends on the one before, so a batch is worked through in order by one task; batches are independent."""
+    import pandas as pd
+
+    names = df.columns
+    top = top_symbols(df, k).groupBy("batch_id").agg(F.collect_set("symbol").alias("_top"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("point_id", kind="stable").reset_index(drop=True)
+        good, keep, last = set(pdf["_top"].iloc[0]), [], None
+        for p in zip(pdf["X"].tolist(), pdf["Y"].tolist(), pdf["Z"].tolist()):
+            ok = last is None or all(a - b in good for a, b in zip(p, last))
+            keep.append(ok)
+            last = p if ok else last
+        return pdf[keep][names]
+
+    return df.join(top, "batch_id").groupBy("batch_id").applyInPandas(run, df.schema)
+
+
+def world_box(lattice_box: DataFrame, scale: float, offset: float) -> DataFrame:
+    """A lattice box in world coordinates."""
+    return lattice_box.withColumns({f"{m}_{a}": expr.world(f"{m}_{a}", scale, offset) for m in ("min", "max") for a in "xyz"})

@@ -143,3 +143,25 @@ def brush(df: DataFrame, at: tuple[float, float, float], radius: float, value: b
     """points with `selected` set, or cleared, within a sphere; others keep what they had."""
     old = F.col("selected") if "selected" in df.columns else F.lit(False)
     return df.withColumn("selected", F.when(expr.in_sphere("wx", "wy", "wz", at, radius), F.lit(value)).otherwise(old))
+
+
+def transformed_boxes(batches: DataFrame, m) -> DataFrame:
+    """Boxes of the eight corners of each box after a matrix, with its perspective divide."""
+    corners = F.array(*(F.struct(*(F.col(BOX[i + 3 * (bits >> i & 1)]).alias(a) for i, a in enumerate("xyz"))) for bits in range(8)))
+    rows = batches.select("batch_id", F.explode(corners).alias("p"))
+    row = lambda i: (F.lit(float(m[i, 0])) * F.col("p.x") + F.lit(float(m[i, 1])) * F.col("p.y")) + (F.lit(float(m[i, 2])) * F.col("p.z") + F.lit(float(m[i, 3])))
+    rows = rows.select("batch_id", *((row(i) / row(3)).alias(a) for i, a in enumerate("xyz")))
+    return rows.groupBy("batch_id").agg(*(f(a).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in "xyz"))
+
+
+def depth_under_cursor(fb: DataFrame, cam: Camera, px: int, py: int, reach: int = 5) -> DataFrame:
+    """The least depth in the window around the cursor, and its point."""
+    rows = fb.withColumns({"px": F.pmod(F.col("pixel_id"), F.lit(cam.width)), "py": F.floor(F.col("pixel_id") / cam.width)})
+    rows = rows.filter(F.col("px").between(px - reach, px + reach) & F.col("py").between(py - reach, py + reach))
+    return rows.agg(F.min(F.struct("depth", "point_id")).alias("p")).select("p.depth", "p.point_id").filter("depth is not null")
+
+
+def debug_colored(df: DataFrame) -> DataFrame:
+    """Chained points in a colour for each batch."""
+    r, g, b = expr.unpack_rgb(expr.debug_color("batch_id"))
+    return df.withColumns({"r": r, "g": g, "b": b})

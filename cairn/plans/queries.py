@@ -624,3 +624,54 @@ def stream_raster(spark, sf_dir):
        + "nodes as (" + " union all ".join(f"select cast({i} as bigint) as level, morton >> {3 * (21 - i)} as prefix, count(*) as n from codes group by 2" for i in range(4)) + ") select * from nodes")
 def stream_octree_counts(spark, sf_dir):
     return _stream(spark, sf_dir, lambda s: progressive.node_counts(s, (0.0, 0.0, 0.0), 11_000_000.0, 3))
+
+
+# further functions
+
+
+@query(f"""with {_GOOD}, islands as (select *, sum(case when good then 0 else 1 end) over (partition by batch_id order by point_id) as island from good),
+runs as (select count(*) as len from islands where good group by batch_id, island), n as (select len, count(*) as runs from runs group by len)
+select len, runs, round(sum(len * runs) over (order by len desc) / sum(len * runs) over (), 6) as share from n""")
+def delta_run_shares(spark, sf_dir):
+    return layout.run_shares(layout.runs(layout.good_points(layout.deltas(points(spark, sf_dir)), 500))).withColumn("share", F.round("share", 6))
+
+
+@query()
+def delta_without_outliers(spark, sf_dir):
+    return layout.discard_outliers(layout.deltas(points(spark, sf_dir)), 500).groupBy("batch_id").agg(F.count("*").alias("kept"))
+
+
+@query(f"with {POINTS} select " + ", ".join(f"round({f}(i{a}) * 1e-2, 4) as {n}_{a}" for n, f in (("min", "min"), ("max", "max")) for a in "xyz") + " from points")
+def world_bbox(spark, sf_dir):
+    return layout.world_box(layout.box(raw(spark, sf_dir)), 0.01, 0.0).select(*(F.round(c, 4).alias(c) for c in BOX))
+
+
+def _corners_sql(m) -> str:
+    rows = [f"(({number(m[i, 0])} * x + {number(m[i, 1])} * y) + ({number(m[i, 2])} * z + {number(m[i, 3])}))" for i in range(4)]
+    corners = " union all ".join("select batch_id, " + ", ".join(f"{'max' if bits >> i & 1 else 'min'}_{a} as {a}" for i, a in enumerate("xyz")) + " from batches" for bits in range(8))
+    return f"corners as ({corners}), moved as (select batch_id, " + ", ".join(f"{rows[i]} / {rows[3]} as {a}" for i, a in enumerate("xyz")) + " from corners)"
+
+
+@query(f"with {POINTS}, {BATCHES}, {_corners_sql(CAM.transform())} select batch_id, " + ", ".join(f"round({f}({a}), 6) as {f}_{a}" for f in ("min", "max") for a in "xyz") + " from moved group by 1")
+def batch_bbox_clip(spark, sf_dir):
+    return raster.transformed_boxes(batches(spark, sf_dir), CAM.transform()).select("batch_id", *(F.round(c, 6).alias(c) for c in BOX))
+
+
+@query(f"""with {POINTS}, {projected_sql(CAM)}, {nearest_sql()} select round(depth, 4) as depth, point_id from fb where pixel_id % {CAM.width} between {CAM.width // 2 - 20} and {CAM.width // 2 + 20}
+and pixel_id // {CAM.width} between {CAM.height // 2 - 20} and {CAM.height // 2 + 20} order by fb.depth, point_id limit 1""")
+def depth_under_cursor(spark, sf_dir):
+    fb = raster.nearest(raster.projected(world(spark, sf_dir), CAM))
+    return raster.depth_under_cursor(fb, CAM, CAM.width // 2, CAM.height // 2, 20).select(F.round("depth", 4).alias("depth"), "point_id")
+
+
+@query(f"""with {POINTS}, {CHAINED}, colored as (select chained.* exclude (r, g, b), batch_id * 1234567 & 255 as r, (batch_id * 1234567 >> 8) & 255 as g, (batch_id * 1234567 >> 16) & 255 as b from chained),
+{projected_sql(CAM, source='colored')}, {nearest_sql()} select pixel_id, point_id, rgb from fb""")
+def raster_batches(spark, sf_dir):
+    return raster.nearest(raster.projected(raster.debug_colored(layout.chained(world(spark, sf_dir))), CAM)).select("pixel_id", "point_id", "rgb")
+
+
+@query(f"""with {POINTS} select point_id, round((wx * r + wy * g) + wz * b, 2) as dot, round(wy * b - wz * g, 2) as cx, round(wz * r - wx * b, 2) as cy, round(wx * g - wy * r, 2) as cz, round(sqrt((wx * wx + wy * wy) + wz * wz), 4) as length from world""")
+def vector_functions(spark, sf_dir):
+    a, b = ("wx", "wy", "wz"), ("r", "g", "b")
+    x, y, z = expr.cross(a, b)
+    return world(spark, sf_dir).select("point_id", F.round(expr.dot(a, b), 2).alias("dot"), F.round(x, 2).alias("cx"), F.round(y, 2).alias("cy"), F.round(z, 2).alias("cz"), F.round(expr.length(a), 4).alias("length"))
