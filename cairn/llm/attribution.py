@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Codec, public_path
-from .common import fresh, table
+from .common import fresh, lean, table
 
 RULES = ("first", "last", "most", "split")
 RULE = "most"
@@ -111,8 +111,9 @@ def token_counts(df: DataFrame, path: str, text: str = "text", starts: str | Non
                 out.append([{"section": j, "start": x, "end": y, "n_tokens": k} for j, (x, y, k) in enumerate(zip(s.tolist(), ends.tolist(), count.tolist()))])
                 sums.append(len(ids) // 4)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in keep), pa.array(out, kind), pa.array(sums, pa.int64())], [*(f.name for f in keep), name, total])
+        c.forget()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def join_fields(df: DataFrame, fields: list[str], between: str = "\n", text: str = "text", starts: str = "starts") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, table, whole
+from .common import fresh, lean, table, whole
 
 #: The pattern of the byte-level pre-tokenizer (fixed value of the public format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -35,7 +35,7 @@ LATIN = rf" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{D
 #: Words of more bytes are merged by a heap.
 SHORT = 48
 #: Words that a worker remembers; the table is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -91,6 +91,10 @@ class Codec:
         for token, i in self.added.items():
             self.known[token] = np.array([i], "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Drop the words that are remembered: a worker that waits holds only the vocabulary."""
+        self.known = {w: self.known[w] for w in self.added}
+
     def slot(self, key: int) -> int:
         return ((key * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> (64 - self.bits)
 
@@ -195,9 +199,9 @@ class Codec:
         known = self.known
         new = set().union(*split).difference(known)
         if len(known) + len(new) > REMEMBERED:
-            known = {w: known[w] for w in self.added}
+            self.forget()
+            known = self.known
             new = set().union(*split).difference(known)
-            self.known = known
         short, longer = [], []
         for w in new:
             b = w.encode()
@@ -233,8 +237,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
             got = c.encode(texts)
             arrays = [pa.array(got, pa.binary())] + [pa.array([c.decode(x) for x in got], pa.string())] * bool(more)
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, ids, *more])
+        c.forget()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -248,7 +253,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
             got = [c.decode(x or b"") for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], [*b.schema.names, text])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def public_path() -> str:

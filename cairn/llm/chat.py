@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import lean, table
 
 #: The template's control strings.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
@@ -144,7 +144,7 @@ def fold(events: DataFrame) -> DataFrame:
 
         return _batched(rows(), MESSAGES, 3)
 
-    return sorted_log.mapInArrow(run, MESSAGES)
+    return sorted_log.mapInArrow(lean(run), MESSAGES)
 
 
 def render(messages: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -159,7 +159,7 @@ def render(messages: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> Da
 
         return _batched(rows(), SEGMENTS, 2)
 
-    return messages.mapInArrow(run, SEGMENTS)
+    return messages.mapInArrow(lean(run), SEGMENTS)
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def read_back(segments: DataFrame) -> DataFrame:
         if out:
             yield flush()
 
-    return segments.mapInArrow(run, DIGESTS)
+    return segments.mapInArrow(lean(run), DIGESTS)
 
 
 def as_events(conversations: DataFrame) -> DataFrame:

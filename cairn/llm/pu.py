@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, table
+from .common import fresh, lean, table
 from .labelled import remainder, sample
 from .quality import counts_of
 
@@ -131,7 +131,7 @@ def score(df: DataFrame, model: dict | None, text: str = "text", name: str = "sc
             p = predict(model, [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in keep), pa.array(p, pa.float64())], [*(f.name for f in keep), name])
 
-    return df.mapInArrow(run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))
+    return df.mapInArrow(lean(run), T.StructType([*keep, T.StructField(name, T.DoubleType())]))
 
 
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

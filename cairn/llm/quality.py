@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import fresh, spool, table, unspool
+from .common import fresh, lean, spool, table, unspool
 
 #: Characters that count as symbols, and the ASCII white space between words.
 SYMBOLS, SPACE = "#*$%&|<>", " \t\n\r\x0b\x0c"
@@ -90,7 +90,7 @@ def measure(df: DataFrame, text: str = "text", drop_text: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(b.schema.get_field_index(f.name)) for f in keep), *(pa.array([g[i] for g in got], pa.int64()) for i in range(len(names)))], [*(f.name for f in keep), *names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def base_failed() -> F.Column:
@@ -154,7 +154,7 @@ def fit(df: DataFrame, group: str) -> DataFrame:
         least = F.col("upto") - F.col("n") < F.col("all") * KEPT  # the bins that hold the nearest rows, ties whole
         mid = F.min(F.when(F.col("upto") >= F.col("all") * 0.5, F.pow(F.lit(2.0), (F.col("bin") + 0.5) / 16) - 1)).alias("mid")
         best = sums.groupBy(group).agg(mid, *(F.sum(F.when(least, F.col(c))).alias(c) for c in ["n", *(f"s{i}" for i in range(n)), *(f"p{i}{j}" for i, j in pairs)]))
-        model = best.mapInArrow(estimate, schema)
+        model = best.mapInArrow(lean(estimate), schema)
     out = spool(model)
     unspool(*olds)
     return out
@@ -167,7 +167,7 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     rest = [c for c in measured.columns if c not in names]
     own = spool(measured.select(F.struct(*rest).alias("row"), F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s"))).alias("pair"), *(F.col(a).alias(b) for a, b in names.items())))
     rows = statistics(own.withColumn("base_failed", base_failed()))
-    large = rows.filter(~F.col("base_failed")).groupBy("pair").agg(F.count("*").alias("size")).filter(F.col("size") >= LEAST).withColumn("group", F.col("pair"))
+    large = spool(rows.filter(~F.col("base_failed")).groupBy("pair").agg(F.count("*").alias("size")).filter(F.col("size") >= LEAST).withColumn("group", F.col("pair")))
     rows = rows.join(large, "pair", "left").withColumn("group", F.coalesce("group", F.lit("")))
     model = fit(rows.filter(~F.col("base_failed")), "group")
     out = rows.join(model, "group", "left").withColumn("d2", distance() / F.col("scale"))
