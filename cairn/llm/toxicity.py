@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic text, and each window of a text is compressed with both.
 Where the toxic dictionary saves bytes that the ordinary one does not, the window says what toxic texts say.  A text's distances - the
-largest and the mean of the largest three of its windows - become a probability by a threshold and slope that are calibrated on labelled
-rows that the dictionaries were not trained on.
+largest, the mean of the largest three, how many reach 3 and 4 bytes, the mean of all - become a probability by thresholds and slopes that
+are calibrated on a third of the labelled rows, which the dictionaries are not trained on.
 
 A dictionary helps by the strings that it holds.  Frequent strings of toxic texts are mostly those of all texts, so the ordinary
 dictionary holds the words that recur in ordinary text, and the toxic dictionary the same ones behind those words that labels tell apart:
@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, table
+from .common import fresh, lean, table
 from .labelled import remainder, sample
 
 PER_CLASS = 2500
 #: Words of a window; bytes of the dictionaries' shared part and of the toxic one's own; compression level.
-WINDOW, SHARED, OWN, LEVEL = 8, 8192, 8192, 5
+WINDOW, SHARED, OWN, LEVEL = 5, 8192, 8192, 5
 #: Words count as toxic if their frequencies have this ratio at least and are significant: of the words chosen, no more than FALSE may be
 #: expected by chance.  Texts with copies vary more than independent words, so the likelihood ratio counts for its part SPREAD only.
 TIMES, FALSE, SPREAD = 3.0, 0.05, 0.67
@@ -91,11 +91,13 @@ def compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False).compress
 
 
-def distances(text: str, dictionaries: tuple[bytes, bytes]) -> tuple[float, float]:
-    """The largest distance of a window, and the mean of the largest three."""
+def distances(text: str, dictionaries: tuple[bytes, bytes]) -> list[float]:
+    """What the distances of a text's windows say: the largest, the mean of the largest three, numbers of large ones, the mean, and
+    how many windows there are."""
     ordinary, toxic = map(compressor, dictionaries)
-    d = sorted([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], reverse=True)[:3]
-    return float(d[0]), sum(d) / 3
+    d = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)])
+    top = np.sort(d)[::-1][:3]
+    return [min(float(top[0]), 40.0), min(float(top.mean()), 40.0), math.log1p((d >= 3).sum()), math.log1p((d >= 4).sum()), float(d.mean()), math.log(len(d))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -111,21 +113,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def squeeze(d: np.ndarray) -> np.ndarray:
-    return np.sign(d) * np.minimum(np.abs(d), 40)
+def probability(x: np.ndarray, weights: list[float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ np.array(weights[:-1]) + weights[-1], -30, 30)))
 
 
 def fit(toxic: list[str], ordinary: list[str], share: float) -> dict:
     """Dictionaries and calibration.  share: how many of all labelled rows are toxic, for the sample holds both classes alike."""
     if len(toxic) < 4 or len(ordinary) < 4:
-        return {"dictionaries": (b"", b""), "weights": [0.0, 0.0, math.log((share + 1e-6) / (1 - share + 1e-6))]}
-    half = train(toxic[::2], ordinary[::2])
-    rest = toxic[1::2], ordinary[1::2]
-    x = squeeze(np.array([distances(t, half) for part in rest for t in part]))
-    w = logistic(x, np.repeat([1.0, 0.0], [len(r) for r in rest]))
-    odds = len(rest[0]) / len(rest[1])
-    w[-1] += math.log(max(share, 1e-6) / max(1 - share, 1e-6)) - math.log(odds)
-    return {"dictionaries": train(toxic, ordinary), "weights": w.tolist()}
+        return {"dictionaries": (b"", b""), "weights": [0.0] * 6 + [math.log((share + 1e-6) / (1 - share + 1e-6))]}
+    dictionaries = train(*([t for i, t in enumerate(texts) if i % 3] for texts in (toxic, ordinary)))
+    rest = toxic[::3], ordinary[::3]
+    w = logistic(np.array([distances(t, dictionaries) for part in rest for t in part]), np.repeat([1.0, 0.0], [len(r) for r in rest]))
+    w[-1] += math.log(max(share, 1e-6) / max(1 - share, 1e-6)) - math.log(len(rest[0]) / len(rest[1]))
+    return {"dictionaries": dictionaries, "weights": w.tolist()}
 
 
 def score(df: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
@@ -134,13 +134,12 @@ def score(df: DataFrame, model: dict, text: str = "text", name: str = "score") -
     (name,) = fresh([f.name for f in keep], name)
 
     def run(batches):
-        w = np.array(model["weights"])
         for b in batches:
-            x = squeeze(np.array([distances(t or "", model["dictionaries"]) for t in b.column(b.schema.get_field_index(text)).to_pylist()]).reshape(-1, 2))
-            p = 1 / (1 + np.exp(-np.clip(x @ w[:2] + w[2], -30, 30)))
+            x = np.array([distances(t or "", model["dictionaries"]) for t in b.column(b.schema.get_field_index(text)).to_pylist()]).reshape(-1, 6)
+            p = probability(x, model["weights"])
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in keep), pa.array(p)], [*(f.name for f in keep), name])
 
-    return df.mapInArrow(run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))
+    return df.mapInArrow(lean(run), T.StructType([*keep, T.StructField(name, T.DoubleType())]))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,10 +232,9 @@ def test_toxicity_learns_words():
 
     toxic = [bad() for _ in range(300)]
     model = toxicity.fit(toxic[:200], ordinary[:200], 0.5)
-    x = toxicity.squeeze(np.array([toxicity.distances(t, model["dictionaries"]) for t in toxic[200:] + ordinary[200:]]))
-    p = 1 / (1 + np.exp(-(x @ np.array(model["weights"][:2]) + model["weights"][2])))
+    p = toxicity.probability(np.array([toxicity.distances(t, model["dictionaries"]) for t in toxic[200:] + ordinary[200:]]), model["weights"])
     assert ((p >= 0.5) == np.repeat([True, False], 100)).mean() > 0.95
-    assert toxicity.distances("", model["dictionaries"]) == (0.0, 0.0)
+    assert toxicity.distances("", model["dictionaries"])[:2] == [0.0, 0.0]
 
 
 def test_without_labels(spark):
