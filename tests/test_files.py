@@ -2,7 +2,6 @@ import json
 import os
 import struct
 
-import numpy as np
 import pytest
 
 from cairn.camera import PRESETS
