@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import LENGTH, anchors, hashed, ranges, run_hash
-from .common import partitions, shared_dir, spool, table, unspool, whole
+from .common import lean, partitions, shared_dir, spool, table, unspool, whole
 from .suffix import repeated_starts
 
 #: Different contexts of an anchor that one block may hold; bytes of a block that further anchors may join; bytes hashed at once.
-CROWD, BLOCK, PIECE = 2048, 1 << 20, 1 << 23
+CROWD, BLOCK, PIECE = 2048, 1 << 19, 1 << 20
 
 
 def key(text: str, seed: int):
@@ -81,7 +81,7 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
                 of = np.array(which)[n]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, context, k1[of], k2[of], first + offset, last + offset)], ["h", "c", "k1", "k2", "lo", "hi"])
 
-    return texts.mapInArrow(run, "h long, c long, k1 long, k2 long, lo long, hi long")
+    return texts.mapInArrow(lean(run), "h long, c long, k1 long, k2 long, lo long, hi long")
 
 
 def fetch(wanted: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def fetch(wanted: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return wanted.mapInArrow(run, "h long, crowd long, many boolean, k1 long, k2 long, lo long, data binary")
+    return wanted.mapInArrow(lean(run), "h long, crowd long, many boolean, k1 long, k2 long, lo long, data binary")
 
 
 def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +140,7 @@ def in_blocks(contexts: DataFrame) -> DataFrame:
         if block:
             yield solve(block)
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "k1 long, k2 long, lo long, hi long")
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(lean(run), "k1 long, k2 long, lo long, hi long")
 
 
 def by_hash(contexts: DataFrame) -> DataFrame:
@@ -160,8 +160,8 @@ def by_hash(contexts: DataFrame) -> DataFrame:
                 w = run_hash(prefix, down, at, at + LENGTH).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, w, k1, k2, lo + at - start[of])], ["h", "w", "k1", "k2", "lo"])
 
-    windows = contexts.mapInArrow(run, "h long, w long, k1 long, k2 long, lo long")
-    twice = windows.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w")
+    windows = contexts.mapInArrow(lean(run), "h long, w long, k1 long, k2 long, lo long")
+    twice = spool(windows.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w"))
     return windows.join(twice, ["h", "w"]).select("k1", "k2", "lo", F.col("lo").alias("hi"))
 
 
@@ -169,19 +169,19 @@ def repeated(texts: DataFrame) -> DataFrame:
     """(k1, k2, lo, hi): runs of windows, by their starts, that begin elsewhere too, among the distinct texts(k1, k2, text)."""
     spark = texts.sparkSession
     all_anchors = spool(anchor_rows(texts.select("k1", "k2", "text")))
-    twice = all_anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    twice = spool(all_anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))  # on its own, so that the join can split hot keys
     met = spool(all_anchors.join(twice, "h"))
-    unspool(all_anchors)
+    unspool(all_anchors, twice)
     kinds = met.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one"))
     kinds = spool(kinds.select("h", "c", (F.col("n") > 1).alias("many"), "one.*"))
     direct = spool(met.join(kinds.filter("many").select("h", "c"), ["h", "c"]).select("k1", "k2", "lo", "hi"))
     unspool(met)
-    crowd = kinds.groupBy("h").agg(F.count("*").alias("crowd")).filter("crowd > 1")
+    crowd = spool(kinds.groupBy("h").agg(F.count("*").alias("crowd")).filter("crowd > 1"))
     need = kinds.join(crowd, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "crowd", "many", "lo", "hi")).alias("need"))
     contexts = spool(fetch(texts.join(need, ["k1", "k2"])))
     spark._jvm.System.gc()  # so that shuffle files nobody reads any more leave the disks
     found = spool(in_blocks(contexts.filter(F.col("crowd") <= CROWD)).union(by_hash(contexts.filter(F.col("crowd") > CROWD))))
-    unspool(kinds, contexts)
+    unspool(kinds, crowd, contexts)
     return direct.union(found)
 
 
@@ -212,7 +212,7 @@ def removed(texts: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(b.schema.get_field_index(x)) for x in ("k1", "k2")), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pair), pa.array(cols[3], pa.binary())], ["k1", "k2", "n_bytes", "n_removed", "spans", "kept"])
 
-    return rows.mapInArrow(run, "k1 long, k2 long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    return rows.mapInArrow(lean(run), "k1 long, k2 long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -252,7 +252,7 @@ def remove(df: DataFrame, text: str = "text") -> DataFrame:
     lost = removed(texts, repeated(texts)).filter("n_removed > 0").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "spans")
     rows = df.select(F.struct(*df.columns).alias("_row"), key(text, 1).alias("_k1"), key(text, 2).alias("_k2"))
     both = texts.select(F.col("k1").alias("_a"), F.col("k2").alias("_b"), F.col("text").alias("_text")).join(lost, (F.col("_a") == F.col("_1")) & (F.col("_b") == F.col("_2"))).select("_1", "_2", "_text", "spans")
-    new = both.mapInArrow(run, "_1 long, _2 long, _new string")
+    new = both.mapInArrow(lean(run), "_1 long, _2 long, _new string")
     out = rows.join(new, (F.col("_k1") == F.col("_1")) & (F.col("_k2") == F.col("_2")), "left")
     return out.select(*(F.coalesce("_new", f"_row.{c}").alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in df.columns))
 
