@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool, unspool
+from .common import lean, spool, unspool
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +48,7 @@ def contract(edges: DataFrame) -> DataFrame:
             a, b = forest(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return edges.mapInArrow(run, "a long, b long")
+    return edges.mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -61,12 +61,13 @@ def components(edges: DataFrame) -> DataFrame:
             return now
         seen = mark
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        low = spool(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
         large = both.filter("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = spool(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        unspool(low)
+        low = spool(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"))
         small = large.filter("b <> a").join(low, F.col("a") == F.col("u"))
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b")
         new = spool(contract(small).distinct())
-        unspool(now, large)
+        unspool(now, large, low)
         now = new

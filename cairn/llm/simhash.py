@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import fresh, spool, table, unspool, whole
+from .common import fresh, lean, spool, table, unspool, whole
 from .components import components, forest
 
 WORDS, SEED, RADIUS = 3, 42, 2
@@ -52,10 +52,10 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     if len(w) <= words:
         return xxh64_intdigest(line, SEED)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(w) - words + 1].tolist()
-    spans = zip(starts, ends[words - 1 :].tolist())
+    starts, ends = np.concatenate([[0], ends[:-1] + 1])[: len(w) - words + 1], ends[words - 1 :]
     count, n = np.zeros(64, np.int64), len(starts)
-    while part := [xxh64_intdigest(line[a:b], SEED) for a, b in itertools.islice(spans, 1 << 16)]:
+    for i in range(0, n, 1 << 16):
+        part = [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[i : i + (1 << 16)].tolist(), ends[i : i + (1 << 16)].tolist())]
         count += np.unpackbits(np.array(part, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
@@ -70,7 +70,7 @@ def fingerprints(df: DataFrame, text: str = "text", name: str = "fp", words: int
             got = np.array([fingerprint(t or "", words) for t in b.column(b.schema.get_field_index(text)).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in keep), pa.array(got)], [*(f.name for f in keep), name])
 
-    return df.mapInArrow(run, T.StructType([*keep, T.StructField(name, T.LongType())]))
+    return df.mapInArrow(lean(run), T.StructType([*keep, T.StructField(name, T.LongType())]))
 
 
 def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -132,7 +132,7 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 def plan(sample: np.ndarray, n: int, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the partitions to probe among n distinct fingerprints, by estimated rows and candidate pairs."""
-    choices = []
+    choices, sample = [], sample if len(sample) else np.zeros(1, np.uint64)
     for m in range(1, MOST_PARTS + 1):
         parts = group_bits(sample, m)
         costs = []
@@ -174,7 +174,7 @@ def spans_of(groups: DataFrame, radius: int) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return groups.mapInArrow(run, "a long, b long")
+    return groups.mapInArrow(lean(run), "a long, b long")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -188,13 +188,13 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         keys = F.array(own) if t == 0 else flips(own, bits)
         probes.append(F.transform(keys, lambda k, i=i: F.struct(F.lit(i).alias("part"), k.alias("key"))))
     dealt = nodes.select("fp", F.explode(F.concat(*probes)).alias("at")).select("fp", "at.part", "at.key")
-    many = dealt.groupBy("part", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    many = spool(dealt.groupBy("part", "key").agg(F.count("*").alias("n")).filter("n > 1"))  # on its own, so that the join can split hot keys
     met = spool(dealt.join(many, ["part", "key"]))
     usual = met.filter(F.col("n") <= CROWD).groupBy("part", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
     crowded = met.filter(F.col("n") > CROWD).select("fp").distinct()
     near = crowded.select("fp", F.explode(flips(F.col("fp"), list(range(64)), radius // 2)).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").filter(F.size("fps") > 1)
     out = spool(spans_of(usual.union(near), radius).distinct())
-    unspool(met)
+    unspool(met, many)
     return out
 
 
