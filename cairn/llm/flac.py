@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, table, whole
+from .common import fresh, lean, table, whole
 
 #: Samples of a block, and frames that are worked on at once.
-BLOCK, FRAMES = 576, 6144
+BLOCK, FRAMES = 576, 3072
 #: Codes of block sizes in a frame's header (fixed values of the format).
 SIZES = {192: 1, 576: 2, 1152: 3, 2304: 4, 4608: 5, 256: 8, 512: 9, 1024: 10, 2048: 11, 4096: 12, 8192: 13, 16384: 14, 32768: 15}
 SIZE_OF = {c: n for n, c in SIZES.items()}
@@ -508,7 +508,7 @@ def encode(df: DataFrame, value: str, media: str = "media", bits: int = 8, lpc:
             got = encode_streams([v or b"" for v in b.column(b.schema.get_field_index(value)).to_pylist()], bits, lpc)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], [*b.schema.names, media])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 BLOCKS = T.ArrayType(T.StructType([T.StructField("sample", T.LongType()), T.StructField("byte", T.LongType()), T.StructField("n", T.LongType())]))
@@ -530,7 +530,7 @@ def decode(df: DataFrame, media: str = "media", pcm: str = "pcm", blocks: str =
                 [*b.columns, pa.array([x for x, _ in got], pa.binary()), pa.array([[dict(zip(("sample", "byte", "n"), p)) for p in y] for _, y in got], pa.list_(pa.struct([("sample", pa.int64()), ("byte", pa.int64()), ("n", pa.int64())]))), pa.array([describe(x) for x, _ in got])],
                 [*b.schema.names, pcm, blocks, feature])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def describe(pcm: bytes) -> str:
