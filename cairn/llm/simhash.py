@@ -14,8 +14,8 @@ bits that hardly vary - is not compared by pairs: each of its fingerprints is de
 radius.  Two fingerprints are within the radius if and only if they meet under some number, and only so many can meet (65 for radius 2,
 2081 for radius 4), so hot buckets cost time in proportion to their size.  The radius is even.
 
-The query links fingerprints of words in threes at 2 bits.  `deduplicate` takes words in fives and 4 bits, which stands for a similarity
-of over 0.9: texts of similarity 0.8 lie about 10 bits apart, a radius that no exact probing can afford on 64 bits.
+The query links fingerprints of words in threes at 2 bits.  `deduplicate` links texts whose sets of five-word shingles have a similarity of
+0.8 or more (`resemblance`), unless it is given a radius: such texts lie about 10 of 64 bits apart, which no probing of 64 bits can afford.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint 0, which links like any other; a text with fewer words
 than a shingle counts as one shingle; null ids don't count as the smallest id of a component, which is null if it has no other; repeated
@@ -36,11 +36,12 @@ from xxhash import xxh64_intdigest
 
 from .common import fresh, lean, spool, table, unspool, whole
 from .components import components, forest
+from .resemblance import resembling
 
 WORDS, SEED, RADIUS = 3, 42, 2
 SAMPLE, CROWD, MOST_PARTS, MOST_T = 3000, 128, 6, 2
-#: Words of a shingle and radius of near-duplicates, where no contract says otherwise.
-NEAR_WORDS, NEAR_RADIUS = 5, 4
+#: Words of a shingle of near-duplicates, where no contract says otherwise.
+NEAR_WORDS = 5
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -214,9 +215,11 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     return out.select("k1", "k2", "doc_id", "fp", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
 
 
-def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = NEAR_WORDS, radius: int = NEAR_RADIUS) -> DataFrame:
-    """The rows of df, one of each component of near-duplicates: the one with the smallest id."""
-    stay = near_duplicates(df, text, doc_id, words, radius).filter("stays").select(F.col("k1").alias("_s1"), F.col("k2").alias("_s2")).distinct()
+def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = NEAR_WORDS, radius: int | None = None) -> DataFrame:
+    """The rows of df, one of each component of near-duplicates: the one with the smallest id.  With a radius, fingerprints of 64 bits
+    are compared, otherwise shingles."""
+    near = resembling(df, text, doc_id, words) if radius is None else near_duplicates(df, text, doc_id, words, radius)
+    stay = near.filter("stays").select(F.col("k1").alias("_s1"), F.col("k2").alias("_s2")).distinct()
     row = df.select(F.struct(*df.columns).alias("_row"), F.xxhash64(doc_id, whole(text)).alias("_k1"), F.xxhash64(F.lit(1), whole(text), doc_id).alias("_k2"))
     kept = row.join(stay, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")), "left_semi")
     w = Window.partitionBy("_k1", "_k2").orderBy("_k1", "_k2")

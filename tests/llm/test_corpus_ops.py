@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairn.llm import anchors, components, mixing, quality, simhash, substrings, suffix
+from cairn.llm import anchors, components, mixing, quality, resemblance, simhash, substrings, suffix
 
 
 def docs(spark, rows):
@@ -209,6 +209,31 @@ def test_near_duplicates(spark, family):
     assert simhash.deduplicate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [64, 3])
+def test_similar_texts(spark, monkeypatch, crowd):
+    """Copies of a similarity of 0.8 or more go, as brute force over exact similarities says; less similar ones stay."""
+    monkeypatch.setattr(resemblance, "CROWD", crowd)
+    monkeypatch.setattr(resemblance, "BLOCK", 8)
+    rng, texts = random.Random(3), ["", None, "short", "Short ", "one two three four five six"]
+    for i in range(40):
+        base = prose(rng, 160).split()
+        for changed in {0: [0, 1, 2, 3, 4, 5, 6], 1: [0, 3]}.get(i % 2):
+            w = list(base)
+            for at in rng.sample(range(2, 150, 6), changed):
+                w[at] = "changed" + str(rng.randrange(10**6))
+            texts.append(" ".join(w))
+    sets = [{" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [root[a] if r == root[b] else r for r in root]
+    want = {min(j for j in range(len(texts)) if root[j] == r) for r in set(root)}
+    df = docs(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    left = simhash.deduplicate(df.union(df))
+    assert sorted(r[0] for r in left.select("doc_id").collect()) == sorted(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (300, 299), (-5, 300)]
     got = {r["a"]: r["b"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
