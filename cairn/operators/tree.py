@@ -26,6 +26,15 @@ def leaves(counts: DataFrame, capacity: int, levels: int) -> DataFrame:
     return rows.filter(leaf & (F.coalesce("above", F.lit(capacity + 1)) > capacity)).select("level", "prefix", "n")
 
 
+def grown(df: DataFrame, capacity: int, bits: int) -> DataFrame:
+    """The nodes of the tree that splits whatever holds more than `capacity` points, as deep as codes of `bits` levels go: the root, and
+    all children of such nodes.  Only points of equal codes stay in overfull leaves."""
+    counts = prefix_counts(df, bits, bits)
+    full = counts.filter(F.col("n") > capacity).select((F.col("level") + 1).alias("level"), F.col("prefix").alias("parent"))
+    below = counts.filter("level > 0").withColumn("parent", F.shiftright("prefix", 3)).join(full, ["level", "parent"]).select("level", "prefix", "n")
+    return counts.filter("level = 0").select("level", "prefix", "n").union(below)
+
+
 def names(nodes: DataFrame) -> DataFrame:
     """Nodes with their path: r, then the child of each level."""
     digits = F.expr("transform(sequence(1, cast(level as int)), i -> cast(shiftright(prefix, 3 * (cast(level as int) - i)) & 7 as string))")
