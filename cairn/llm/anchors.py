@@ -1,6 +1,6 @@
 """Anchors: places of a text that depend on what stands around them alone.
 
-Each window of LENGTH bytes chooses, among its grams of GRAM bytes, the one with the least hash, the first of equals.  Equal windows choose
+Each window of `length` bytes chooses, among its grams of `gram_of(length)` bytes, the one with the least hash, the first of equals.  Equal windows choose
 at the same place within them, so two windows can be equal only if the hashes of their anchors are.  Consecutive windows mostly share an
 anchor; `anchors` gives each with the range of windows that choose it, and a hash of all the bytes these windows cover."""
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LENGTH, GRAM = 400, 128
+LENGTH = 400
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: A random number for each byte.
@@ -57,9 +57,15 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def gram_of(length: int) -> int:
+    """Bytes of a gram: 128 for windows of 400 bytes, and in proportion."""
+    return max(1, length * 8 // 25)
+
+
+def anchors(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Of texts with these sizes that lie in data (under 2**24 bytes) one after the other: number of the text, hash of the anchor, first and
     last window that chooses it (as offsets in the text), and hash of the bytes from the first one's start to the last one's end."""
+    gram = gram_of(length)
     starts = np.cumsum(sizes) - sizes
     windows = np.maximum(0, sizes - length + 1)
     at = ranges(starts, windows)

@@ -222,7 +222,7 @@ def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words
     stay = near.filter("stays").select(F.col("k1").alias("_s1"), F.col("k2").alias("_s2")).distinct()
     row = df.select(F.struct(*df.columns).alias("_row"), F.xxhash64(doc_id, whole(text)).alias("_k1"), F.xxhash64(F.lit(1), whole(text), doc_id).alias("_k2"))
     kept = row.join(stay, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")), "left_semi")
-    w = Window.partitionBy("_k1", "_k2").orderBy("_k1", "_k2")
+    w = Window.partitionBy("_k1", "_k2").orderBy(F.xxhash64(*(f"_row.`{c}`" for c in df.columns)))  # of rows with one id and text, the same one each time
     return kept.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("_row.*")
 
 

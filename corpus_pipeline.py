@@ -11,37 +11,48 @@ from pyspark.sql import functions as F
 
 from cairn.llm import bpe, common, mixing, quality, simhash, substrings
 
+#: Bytes of a passage that the third stage removes.  Passages of over 50 words have 250 bytes and more.
+PASSAGE = 240
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     common.configure(spark)
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    with common.stage(docs):
+        out = quality.judge(docs)
+        (kept,) = [c for c in out.columns if c not in docs.columns and c.lstrip("_") == "kept"]
+        return out.filter(kept).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
     common.configure(spark)
-    return simhash.deduplicate(docs)
+    with common.stage(docs):
+        return simhash.deduplicate(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur anywhere else go from the texts."""
+    """Passages of PASSAGE bytes or more that occur anywhere else go from the texts."""
     common.configure(spark)
-    out = substrings.remove(docs)
+    with common.stage(docs):
+        out = substrings.remove(docs, length=PASSAGE)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix of sources holds it."""
     common.configure(spark)
-    return mixing.mix(docs)
+    with common.stage(docs):
+        return mixing.mix(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, as little-endian unsigned 32-bit integers."""
     common.configure(spark)
-    out = bpe.encode(docs.withColumn("text", common.whole()), bpe.public_path())
-    return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    with common.stage(docs):
+        own = docs.select("doc_id", common.whole().alias("text"), *(c for c in ("lang", "source") if c in docs.columns))
+        out = bpe.encode(own, bpe.public_path())
+    return out.select(*(c for c in own.columns if c != "text"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("substring dedup", substring_dedup), ("mix sources", mix_sources), ("encode", encode_texts)]
