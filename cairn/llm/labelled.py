@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts of more bytes are not learnt from; they are scored like all others.
-LONGEST = 40_000
+from .common import whole
 
 
 def remainder(doc_id: str, of: int) -> F.Column:
@@ -14,9 +13,10 @@ def remainder(doc_id: str, of: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % of, F.lit(0))
 
 
-def sample(docs: DataFrame, ids: DataFrame, n: int, seed: int) -> list[str]:
-    """Texts of at most n ids, those with the least hashes: reruns agree.  Only ids and n texts are moved."""
+def sample(docs: DataFrame, ids: DataFrame, n: int, seed: int) -> DataFrame:
+    """(doc_id, text) of at most n ids, those with the least hashes: reruns agree.  Texts of any length are learnt from, and stay on the
+    executors.  Of rows with one id, the least text counts."""
     some = ids.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
     chosen = docs.sparkSession.createDataFrame(some.collect(), ids.select("doc_id").schema)  # n rows at most, so they can be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= LONGEST)
-    return [r["text"] for r in rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").collect()]
+    rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))

@@ -6,8 +6,9 @@ both that score above a threshold, with an allowance for chance.  `fit` then min
 network: with prior p, losses l, positives P and unlabelled U it is p * E_P[l(g)] + max(0, E_U[l(-g)] - p * E_P[l(-g)]); where the second
 part would fall below zero, the step goes the other way.  With the logistic loss, the network's output is the log odds of a good text.
 
-Features are statistics of whole texts, as quality rules count them.  The training rows are bounded samples, POSITIVE labelled texts and
-UNLABELLED others.  Every whole text is scored.
+Features are statistics of whole texts, as quality rules count them; they are counted on the executors.  The training rows are bounded
+samples of texts of any length: POSITIVE labelled texts, and UNLABELLED of all texts, whose mean loss stands for the mean over all.  Every
+whole text is scored.
 
 Defined results: null text counts as empty; without positives every score is 0.5; repeated rows score alike; an empty table gives an empty
 table; extra columns pass through.
@@ -40,7 +41,7 @@ def features(text: str) -> list[float]:
     stops = sum(map(text.count, ".,;:!?"))
     log = np.log1p
     return [
-        min(log(n), 12.0), log(letters / words), log(100 * symbols / letters), log(100 * dup_lines / words), log(100 * repeats / words), len(count) / words,
+        log(n), log(letters / words), log(100 * symbols / letters), log(100 * dup_lines / words), log(100 * repeats / words), len(count) / words,
         log(100 * common / words), log(100 * digits / letters), log(100 * stops / letters), log(100 * text.count("\n") / words), float(n < 50)]
 
 
@@ -103,10 +104,24 @@ def prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(((above_u + chance / 2) / np.maximum(above_p, 1e-9)).min(), 0.01, 0.99))
 
 
-def fit(positive: list[str], unlabelled: list[str]) -> dict | None:
-    if len(positive) < 8 or len(unlabelled) < 8:
+def featured(texts: DataFrame) -> np.ndarray:
+    """The features of the sampled rows, in the order of their ids; the texts stay on the executors."""
+
+    def run(batches):
+        for b in batches:
+            x = [features(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(lean(run), f"doc_id {kind}, x array<double>").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").collect()
+    return np.array([r["x"] for r in rows])
+
+
+def fit(positive: DataFrame, unlabelled: DataFrame) -> dict | None:
+    """A model from two samples (doc_id, text)."""
+    pos, unl = featured(positive), featured(unlabelled)
+    if len(pos) < 8 or len(unl) < 8:
         return None
-    pos, unl = (np.array([features(t) for t in texts]) for texts in (positive, unlabelled))
     both = np.concatenate([pos, unl])
     mean, scale = both.mean(0), both.std(0) + 1e-3
     pos, unl = (pos - mean) / scale, (unl - mean) / scale
@@ -118,7 +133,7 @@ def predict(model: dict | None, texts: list[str]) -> np.ndarray:
     if model is None or not texts:
         return np.full(len(texts), 0.5)
     x = (np.array([features(t) for t in texts]) - model["mean"]) / model["scale"]
-    return sigmoid(forward(model["net"], np.clip(x, -12, 12))[0])
+    return sigmoid(forward(model["net"], x)[0])
 
 
 def score(df: DataFrame, model: dict | None, text: str = "text", name: str = "score") -> DataFrame:
