@@ -7,7 +7,8 @@ A log holds events of conversations.  It is partitioned by conversation, sorted
 * `edit` replaces the text of the message that it names,
 * `regenerate` drops the messages from the one that it names on and begins that message anew with its role and text.
 
-`target` counts the messages of the conversation from 0.  `fold` returns a row for each final message, `render` turns those rows into
+`target` counts the messages of the conversation from 0, and below 0 from the last one (-1).  `as_events` writes the log that a chat leaves behind: each turn begins as a draft
+that an edit, or for an assistant a regeneration, replaces by the first piece of its text; the others are streamed as deltas.  `fold` returns a row for each final message, `render` turns those rows into
 segments of the formatted conversation with a loss mask, and `read_back` restores messages from segments alone.
 
 The template of a message is `<s>[INST]role\ntext[/INST]</s>`.  Inside a role or text, a backslash is put before each backslash and
@@ -37,6 +38,8 @@ from .common import lean, table
 #: The template's control strings.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 SPOOLED = 16 << 20
+#: What a turn says before it is edited or regenerated, and the pieces in which its text comes.
+DRAFT, PIECES = "...", 4
 OUT_ROWS, OUT_CHARS = 2000, 2 << 20
 
 _hide = re.compile(r"\\|<(?=/?s>)|\[(?=/?INST\])").sub
@@ -82,6 +85,8 @@ class Conversation:
 
     def apply(self, kind: str | None, target: int | None, role: str | None, text: str | None) -> None:
         role, text, n = role or "", text or "", len(self.messages)
+        if target is not None and target < 0:
+            target += n
         if kind in (None, "message"):
             self.messages.append((role, [self.store(text)]))
         elif kind == "delta":
@@ -191,13 +196,22 @@ def read_back(segments: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """The log of a table with a row for each turn."""
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("target"), "role", "text")
+    """The log of a table with a row for each turn: a draft, what replaces it, and the rest of the text in PIECES.  Turns of equal number
+    are put in order by a hash of role and text; no two rows mix their events."""
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("row", F.struct("turn", F.xxhash64("role", "text").alias("tie"), F.monotonically_increasing_id().alias("id")))
+    piece = F.greatest(F.lit(1), F.ceil(F.length("text") / PIECES)).cast("int")
+    steps = F.ceil(F.length("text") / piece)
+    events = rows.select("conv_id", "row", "role", "text", piece.alias("piece"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), steps))).alias("step"))
+    first = F.when(F.col("role") == "assistant", "regenerate").otherwise("edit")
+    kind = F.when(F.col("step") == 0, "message").when(F.col("step") == 1, first).otherwise("delta")
+    text = F.when(F.col("step") == 0, F.lit(DRAFT)).otherwise(F.substring("text", ((F.col("step") - 1) * F.col("piece") + 1).cast("int"), F.col("piece")))
+    return events.select("conv_id", F.struct("row", "step").alias("seq"), kind.alias("kind"), F.when(F.col("step") > 0, F.lit(-1).cast("long")).alias("target"), F.when(F.col("step") <= 1, F.col("role")).alias("role"), text.alias("text"))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted; digests of what the formatted segments give back."""
     said = "</s>[INST] ok [/INST]"
-    extra = spark.sql(f"select -7L as conv_id, seq, 'message' as kind, cast(null as long) as target, role, '{said}' as text from values (0L, 'user'), (1L, 'assistant') as t(seq, role)")
-    events = as_events(table(spark, sf_dir, "conversations")).unionByName(extra)
-    return read_back(render(fold(events)))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.sql(f"select -7L as conv_id, turn, role, '{said}' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
+    return read_back(render(fold(as_events(turns.unionByName(extra)))))
