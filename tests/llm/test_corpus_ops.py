@@ -84,6 +84,16 @@ def brute_removed(texts, length=400):
     return data, out
 
 
+@pytest.mark.parametrize("length", [40, 240])
+def test_substrings_of_other_lengths(spark, family, length):
+    df = docs(spark, family)
+    texts = [t for _, t, *_ in family]
+    data, want = brute_removed(texts, length)
+    got = {(r["k1"], r["k2"]): r for r in substrings.deduplicate(df, length=length).collect()}
+    for r in df.select("text", substrings.key("text", 1).alias("k1"), substrings.key("text", 2).alias("k2")).collect():
+        assert [[s["start"], s["end"]] for s in got[r["k1"], r["k2"]]["spans"]] == want[texts.index(r["text"])]
+
+
 @pytest.mark.parametrize("crowd", [2048, 1])
 @pytest.mark.parametrize("block", [1 << 20, 1])
 def test_substrings(spark, family, monkeypatch, crowd, block):
@@ -325,20 +335,75 @@ def test_judge(spark):
     assert quality.judge(df.limit(0)).count() == 0
 
 
-def test_estimates_against_numpy(spark):
-    """One concentration step on all rows gives the same centre and scatter as numpy's."""
+def brute_mcd(x, kept, ridge, tries=200):
+    """The least determinant that exact concentration reaches from many starts, with its centre and scatter."""
+    rng, best = np.random.default_rng(0), None
+    h, extra = int(np.ceil(kept * len(x))), np.diag(np.square(ridge))
+    for _ in range(tries):
+        some = x[rng.choice(len(x), 5, replace=False)]
+        c, s = some.mean(0), np.cov(some.T, bias=True)
+        for _ in range(30):
+            d = x - c
+            near = x[np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(s + extra), d), kind="stable")[:h]]
+            c, s = near.mean(0), np.cov(near.T, bias=True)
+        det = np.linalg.det(s + extra)
+        if best is None or det < best[0]:
+            best = det, c, s
+    return best
+
+
+def test_estimates_against_numpy(spark, monkeypatch):
+    """Robust estimates of two groups with outliers, some rows few enough to begin from all: as the best of many starts by brute force."""
+    monkeypatch.setattr(quality, "PRIOR", 0)
     rng = np.random.default_rng(3)
-    x = (rng.normal(0, 1, (500, 4)) * 1024).astype(int)
-    df = spark.createDataFrame([("g", *map(int, r)) for r in x], "g string, " + ", ".join(f"{s} long" for s in quality.STATS))
-    old = quality.KEPT, quality.STEPS
-    quality.KEPT, quality.STEPS = 1.0, 1
-    try:
-        m = quality.fit(df, "g").first()
-    finally:
-        quality.KEPT, quality.STEPS = old
-    y = x / 1024
-    assert np.allclose(m["center"], y.mean(0))
-    assert np.allclose(np.linalg.inv(np.array(m["inverse"]).reshape(4, 4)), np.cov(y.T, bias=True) + np.diag(np.square(quality.RIDGE)))
+    groups = {}
+    for g, n in (("a", 900), ("b", 200)):
+        mix = rng.normal(0, 1, (4, 4))
+        x = rng.normal(0, 1, (n, 4)) @ mix + rng.normal(0, 3, 4)
+        x[: n // 5] = rng.normal(0, 0.3, (n // 5, 4)) + 15  # a tight cluster that classical estimates follow
+        groups[g] = np.round(x * 1024).astype(int)
+    rows = [(g, *map(int, r), i) for g, x in groups.items() for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{s} long" for s in quality.STATS) + ", n_words long").repartition(7)
+    got = {r["g"]: r for r in quality.fit(df, "g").collect()}
+    for g, x in groups.items():
+        det, c, s = brute_mcd(x / 1024, quality.KEPT, quality.RIDGE)
+        cov = np.array(got[g]["inverse"]).reshape(4, 4)
+        assert np.linalg.det(np.linalg.inv(cov)) <= det * 1.02 and np.allclose(got[g]["center"], c, atol=0.15)
+        d = x / 1024 - got[g]["center"]
+        assert (np.einsum("ij,jk,ik->i", d, cov, d)[: len(x) // 5] / got[g]["scale"] > quality.CUT).all()
+
+
+def test_plain_estimates_against_numpy(spark, monkeypatch):
+    """With all rows kept, centre and scatter are numpy's mean and covariance; a group's is drawn to that of all rows as PRIOR says."""
+    monkeypatch.setattr(quality, "KEPT", 1.0)
+    rng = np.random.default_rng(4)
+    x = {"a": np.round(rng.normal(0, 1, (500, 4)) * 1024).astype(int), "b": np.round(rng.normal(1, 2, (30, 4)) * 1024).astype(int), "c": np.array([[5, 6, 7, 8]])}
+    df = spark.createDataFrame([(g, *map(int, r), 1) for g, v in x.items() for r in v], "g string, " + ", ".join(f"{s} long" for s in quality.STATS) + ", n_words long")
+    got = {r["g"]: r for r in quality.fit(df, "g").collect()}
+    every = np.concatenate([*x.values()]) / 1024
+    assert got.keys() == x.keys()
+    for g, v in x.items():
+        v, part = v / 1024, len(v) / (len(v) + quality.PRIOR)
+        center = part * v.mean(0) + (1 - part) * every.mean(0)
+        cov = part * (np.cov(v.T, bias=True) if len(v) > 1 else 0) + (1 - part) * np.cov(every.T, bias=True)
+        assert np.allclose(got[g]["center"], center) and np.allclose(np.linalg.inv(np.array(got[g]["inverse"]).reshape(4, 4)), cov + np.diag(np.square(quality.RIDGE)))
+
+
+def test_each_statistic_rejects_alone(spark):
+    """Long words, symbols, repeated lines and repeated words: each far share is rejected among clean texts, one repeated line is not."""
+    rng = random.Random(12)
+    good = [(i, "\n".join(prose(rng, rng.randint(9, 14)) for _ in range(8)), "en", "s", 1) for i in range(300)]
+    line = prose(rng, 3)
+    odd = [
+        (1000, " ".join("".join(rng.choices("abcdef", k=14)) for _ in range(120)), "en", "s", 1),
+        (1001, " ".join(f"{prose(rng, 1)}|" for _ in range(120)), "en", "s", 1),
+        (1002, "\n".join([line] * 17 + [prose(rng, 60)]), "en", "s", 1),
+        (1003, "\n".join(prose(rng, 11) for _ in range(5)) + "\n" + " ".join([(p := prose(rng, 24)), "x", p]), "en", "s", 1)]
+    once = [(2000, good[0][1] + "\n" + good[0][1].split("\n")[0], "en", "s", 1)]
+    rows = {r["doc_id"]: r for r in quality.judge(docs(spark, good + odd + once)).collect()}
+    assert not any(rows[i]["base_failed"] for i in (1000, 1001, 1002, 1003, 2000))
+    assert [rows[i]["kept"] for i in (1000, 1001, 1002, 1003, 2000)] == [False] * 4 + [True], [(i, rows[i]["d2"]) for i in (1000, 1001, 1002, 1003, 2000)]
+    assert sum(rows[i]["kept"] for i in range(300)) >= 298
 
 
 # queries
@@ -368,6 +433,57 @@ def test_contract_queries(spark, sf_dir, duck):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) == (len(t), sum(b - a for a, b in s), len(s))
 
 
+def brute_near(rows, words=5, least=0.8):
+    """Ids that stay of (id, text): the smallest of each component of texts whose shingles have this similarity."""
+    sets = [{" ".join(w[j : j + words]) for j in range(max(1, len(w) - words + 1))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                root = [root[a] if r == root[b] else r for r in root]
+    return {min(rows[j][0] for j in range(len(rows)) if root[j] == r) for r in set(root)}
+
+
+def test_pipeline_of_odd_tables(spark, sf_dir):
+    """Nulls in every column, an empty and a very long text, repeated rows, names that clash, and an empty table pass all stages."""
+    import corpus_pipeline as p
+
+    from cairn.llm import common
+
+    rng = random.Random(14)
+    same = prose(rng, 60)
+    rows = [(i, prose(rng, 150), "en", "s", 1) for i in range(40)] + [(i, f"{prose(rng, 80)}\n{same} {prose(rng, 80)}", None, None, None) for i in range(40, 46)]
+    rows += [(None, prose(rng, 100), "de", "t", 5), (60, None, None, None, None), (61, "", "en", "s", 0), (62, prose(rng, 60_000), "en", "s", 1)]
+    df = docs(spark, rows + rows[:3]).withColumns({c: F.lit(c) for c in ("kept", "_kept", "key", "_row", "size", "ids", "k1", "spans", "copies")})
+    for some in (df, df.limit(0)):
+        out = some
+        for _, stage in p.STAGES[:4]:
+            out = common.spool(stage(spark, out, sf_dir))
+            assert out.columns == df.columns
+        last = p.STAGES[4][1](spark, out, sf_dir).collect()
+        assert bool(last) == (some is df)
+    assert all(same[:200] not in r["text"] for r in out.collect()) and {"doc_id", "n_tokens", "ids"} <= set(p.STAGES[4][1](spark, df.drop("lang", "source"), sf_dir).columns)
+
+
+def test_pipeline_passages(spark, sf_dir):
+    """Passages of 51 to 63 words that documents share go, and only these."""
+    import corpus_pipeline as p
+
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 8)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows, clean = [], {}
+    for n in range(51, 64, 2):
+        passage = words(n)
+        for _ in range(3):
+            a, b = words(200), words(150)
+            clean[len(rows)] = a, b, passage
+            rows.append((len(rows), f"{a} {passage} {b}", "en", "s", 1))
+    for r in p.substring_dedup(spark, docs(spark, rows), sf_dir).collect():
+        a, b, passage = clean[r["doc_id"]]
+        assert r["text"].startswith(a[:-4]) and r["text"].endswith(b[4:]) and len(r["text"]) <= len(a) + len(b) + 2  # neighbours may agree by chance
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against brute force on its own input."""
     import corpus_pipeline as p
@@ -385,12 +501,10 @@ def test_pipeline(spark, sf_dir):
     ids = [Counter(r["doc_id"] for r in o.select("doc_id").collect()) for o in outs]
     verdict = {r["doc_id"] for r in quality.op7_quality(spark, sf_dir).filter("kept").collect()}
     assert set(ids[1]) == verdict
-    fps = {r["doc_id"]: brute_fingerprint(r["text"], 5) for r in outs[1].collect()}
-    order = sorted(fps)
-    roots = brute_components([fps[i] for i in order], 4)
-    assert set(ids[2]) == {order[c] for c in set(roots)}
+    own = sorted((r["doc_id"], r["text"]) for r in outs[1].collect())
+    assert set(ids[2]) == brute_near(own)
     rows = {r["doc_id"]: r["text"] for r in outs[2].collect()}
-    data, spans = brute_removed([*rows.values()])
+    data, spans = brute_removed([*rows.values()], p.PASSAGE)
     left = {r["doc_id"]: r for r in outs[3].collect()}
     for i, t, s in zip(rows, data, spans):
         cut = b"".join(t[a:b] for a, b in zip([0, *(z for _, z in s)], [*(a for a, _ in s), len(t)]))

@@ -16,6 +16,10 @@ texts = st.text(alphabet=st.one_of(st.sampled_from(" \n\t'ae#1é|ñ<x>"), st.cha
 SOME = ["", " ", "a", "<|endoftext|>", "x<|endoftext|>y", "ab" * 3000, "#" * 500, "don't we'll", " \n\n  x", "é" * 100, "日本語 text", "a b " * 50, "\x00\x1c\x85"]
 
 
+def prose(rng, n):
+    return " ".join("".join(rng.choices("aeinorstl", k=rng.randint(2, 8))) for _ in range(n))
+
+
 @pytest.fixture(scope="module")
 def reference():
     from tokenizers import Tokenizer
@@ -81,6 +85,25 @@ def test_attribution(reference, codec, text, rule):
     assert np.allclose(got, count) and np.isclose(got.sum(), len(want))
 
 
+def test_bpe_columns(spark, reference):
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "x y " * 20_000, "c"), (4, "é!", "d"), (4, "é!", "d")], "id long, text string, ids string")
+    out = bpe.encode(df, bpe.public_path(), decoded="decoded")
+    assert out.columns == ["id", "text", "ids", "_ids", "decoded"] and bpe.encode(df.limit(0), bpe.public_path()).count() == 0
+    for r in out.collect():
+        assert np.frombuffer(bytes(r["_ids"]), "<u4").tolist() == reference.encode(r["text"] or "", add_special_tokens=False).ids and r["decoded"] == (r["text"] or "")
+    assert bpe.decode(out, bpe.public_path(), "_ids", "text").columns[-1] == "_text"
+
+
+def test_attribution_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "one two\n\nthree " * 3000, "c"), (4, "x", "d"), (4, "x", "d")], "id long, text string, n_tokens string")
+    out = attribution.token_counts(df, bpe.public_path())
+    rows = out.orderBy("id").collect()
+    assert len(rows) == 5 and rows[3] == rows[4] and attribution.token_counts(df.limit(0), bpe.public_path()).count() == 0
+    name = [c for c in out.columns if c.lstrip("_") == "n_tokens"][-1]
+    sections = [c for c in out.columns if c.lstrip("_") == "sections"][-1]
+    assert name != "n_tokens" and [r[name] for r in rows][:2] == [0, 0] and all(np.isclose(sum(s["n_tokens"] for s in r[sections]), r[name]) for r in rows)
+
+
 def test_attribution_of_fields(spark):
     df = spark.createDataFrame([(1, "one two", None, "three"), (2, "", "x", "")], "id long, a string, b string, c string")
     out = attribution.token_counts(attribution.join_fields(df, ["a", "b", "c"]), bpe.public_path(), starts="starts").orderBy("id").collect()
@@ -173,6 +196,24 @@ def test_fold(spark):
     assert chat.fold(df.limit(0)).count() == 0
 
 
+def test_log_of_turns(spark):
+    """Drafts, edits, regenerations and deltas fold into the turns that were written as a log: ties, repeats, nulls, long texts."""
+    rng = random.Random(6)
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "é" * 10 + "<s>"), (1, 1, "assistant", "tie"), (1, 2, None, None), (1, 2, None, None), (1, None, "user", "first"), (2, 0, "assistant", ""), (2, 5, "user", "x"), (3, 0, "assistant", prose(rng, 30_000)), (None, 0, "tool", "n")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    log = chat.as_events(df)
+    assert {r["kind"] for r in log.collect()} == {"message", "edit", "regenerate", "delta"}
+    got = {}
+    for r in chat.fold(log).orderBy("pos").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    want = {}
+    for c, _, role, text in sorted(turns, key=lambda t: (t[0] or -1, -1 if t[1] is None else t[1])):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert {c: Counter(x) for c, x in got.items()} == {c: Counter(x) for c, x in want.items()} and got[1][:2] == want[1][:2] and got[3] == want[3]
+    digests = {r["conv_id"]: r["n_turns"] for r in chat.read_back(chat.render(chat.fold(log))).collect()}
+    assert digests == {c: len(x) for c, x in want.items()} and chat.as_events(df.limit(0)).count() == 0
+
+
 def test_large_conversations_leave_memory(monkeypatch):
     monkeypatch.setattr(chat, "SPOOLED", 100)
     c = chat.Conversation()
@@ -219,7 +260,7 @@ def test_repeated_words_of_long_texts():
 # classifiers
 
 
-def test_toxicity_learns_words():
+def test_toxicity_learns_words(spark):
     rng = random.Random(3)
     plain = lambda: rng.choices([f"word{i}" for i in range(400)], k=80)
     ordinary = [" ".join(plain()) for _ in range(300)]
@@ -231,27 +272,95 @@ def test_toxicity_learns_words():
         return " ".join(w)
 
     toxic = [bad() for _ in range(300)]
-    model = toxicity.fit(toxic[:200], ordinary[:200], 0.5)
+    rows = [(i, t, int(i < 200)) for i, t in enumerate(toxic[:200] + ordinary[:200])]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), 0.5)
     p = toxicity.probability(np.array([toxicity.distances(t, model["dictionaries"]) for t in toxic[200:] + ordinary[200:]]), model["weights"])
     assert ((p >= 0.5) == np.repeat([True, False], 100)).mean() > 0.95
     assert toxicity.distances("", model["dictionaries"])[:2] == [0.0, 0.0]
+    # the scorer against its definition, and tables with odd rows
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, toxic[250] * 400, "c"), (4, toxic[251], "d"), (4, toxic[251], "d"), (5, ordinary[250], "e")], "doc_id long, text string, score string")
+    got = toxicity.score(df, model, name="score")
+    assert got.columns == ["doc_id", "score", "_score"] and toxicity.score(df.limit(0), model).count() == 0
+    import zstandard
+
+    for r, (_, t, _) in zip(sorted(got.collect(), key=lambda r: r["doc_id"]), sorted(df.collect())):
+        long = []
+        for d in model["dictionaries"]:
+            z = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=toxicity.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
+            long.append(np.array([len(z.compress(w)) for w in toxicity.windows(t or "")]))
+        d = np.sort(long[0] - long[1])[::-1].astype(float)
+        x = [d[0], d[:3].mean(), np.log1p((d >= 3).sum()), np.log1p((d >= 4).sum()), d.mean()]
+        assert abs(r["_score"] - 1 / (1 + np.exp(-(np.dot(x, model["weights"][:-1]) + model["weights"][-1])))) < 0.02
+    ordinary_d, toxic_d = toxicity.train_by_zstandard([w for t in toxic for w in toxicity.windows(t)], [w for t in ordinary for w in toxicity.windows(t)], 4096)
+    assert ordinary_d != toxic_d
+
+
+def test_contexts(spark):
+    """Against sets of pairs."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices("ab c. d! E".split(), k=30)), i % 2) for i in range(9)] + [(20, None, 1), (21, "", 0)]
+    want = {}
+    for _, t, k in rows:
+        w = [b"", *(x.strip(toxicity._strip) for x in (t or "").lower().encode().split()), b""]
+        for i in range(1, len(w) - 1):
+            want.setdefault(w[i], (set(), set()))[k].add((w[i - 1], w[i + 1]))
+    got = toxicity.contexts(spark.createDataFrame(rows, "doc_id long, text string, toxic int")).collect()
+    assert {bytes(r["word"]): (r["a"], r["b"]) for r in got} == {w: (len(x[1]), len(x[0])) for w, x in want.items()}
 
 
 def test_without_labels(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "id long, text string")
-    model = toxicity.fit([], [], 0.25)
-    assert all(abs(r["score"] - 0.25) < 1e-3 for r in toxicity.score(df, model).collect())
+    none = spark.createDataFrame([], "doc_id long, text string, toxic int")
+    for few in (none, spark.createDataFrame([(1, "a b c", 1), (2, None, 1)], none.schema), spark.createDataFrame([(i, "", i % 2) for i in range(9)], none.schema)):
+        model = toxicity.fit(few, 0.25)
+        assert all(abs(r["score"] - 0.25) < 1e-3 for r in toxicity.score(df, model).collect())
     assert [r["score"] for r in pu.score(df, None).collect()] == [0.5, 0.5]
 
 
-def test_positive_unlabelled():
+def test_positive_unlabelled(spark):
     rng = random.Random(4)
     good = lambda: " ".join("".join(rng.choices("abcdeilnorst", k=rng.randint(2, 9))) for _ in range(rng.randint(60, 300))) + "."
     junk = lambda: rng.choice(["spam ", "### | ", "$$$ x "]) * rng.randint(60, 300)
-    model = pu.fit([good() for _ in range(200)], [good() if rng.random() < 0.7 else junk() for _ in range(500)])
+    sample = lambda texts: spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    model = pu.fit(sample([good() for _ in range(200)]), sample([good() if rng.random() < 0.7 else junk() for _ in range(499)] + [None]))
     assert 0.5 < model["prior"] < 0.9
     p = pu.predict(model, [good() for _ in range(100)] + [junk() for _ in range(100)])
     assert (p[:100] >= 0.5).mean() > 0.95 and (p[100:] < 0.5).mean() > 0.95
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, good() * 500, "c"), (4, junk(), "d"), (4, junk(), "d")], "doc_id long, text string, score string")
+    got = pu.score(df, model).orderBy("doc_id").collect()
+    assert got[0].asDict().keys() == {"doc_id", "score", "_score"} and all(0 <= r["_score"] <= 1 for r in got) and got[0]["_score"] == got[1]["_score"]
+    assert pu.score(df.limit(0), model).count() == 0 and pu.fit(sample(["x"]), sample(["y"])) is None
+
+
+def test_non_negative_risk_by_hand():
+    """The gradient that `minimise` follows, against differences of the risk."""
+    rng = np.random.default_rng(2)
+    pos, unl, share = rng.normal(1, 1, (40, 3)), rng.normal(0, 1, (90, 3)), 0.4
+    net = pu.start(3, rng)
+
+    def risk(net):
+        gp, gu = pu.forward(net, pos)[0], pu.forward(net, unl)[0]
+        return share * np.logaddexp(0, -gp).mean() + np.logaddexp(0, gu).mean() - share * np.logaddexp(0, gp).mean()
+
+    gp, hp = pu.forward(net, pos)
+    gu, hu = pu.forward(net, unl)
+    up, down, other = -pu.sigmoid(-gp) / len(gp), pu.sigmoid(gp) / len(gp), pu.sigmoid(gu) / len(gu)
+    grad = [share * a + b - share * c for a, b, c in zip(pu.backward(net, pos, hp, up), pu.backward(net, unl, hu, other), pu.backward(net, pos, hp, down))]
+    for i, at in ((0, (1, 2)), (1, (3,)), (2, (5,)), (3, (0,))):
+        more, less = [w.copy() for w in net], [w.copy() for w in net]
+        more[i][at] += 1e-5
+        less[i][at] -= 1e-5
+        assert abs((risk(more) - risk(less)) / 2e-5 - grad[i][at]) < 1e-6
+
+
+def test_samples(spark):
+    from cairn.llm import labelled
+
+    docs = spark.createDataFrame([(i, "x" * (i * 3000)) for i in range(40)] + [(3, "twice"), (None, "none"), (50, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in labelled.sample(docs, docs.select("doc_id"), 100, 1).collect()}
+    assert len(got) == 41 and len(got[39]) == 117000 and got[3] == "twice" and got[50] == ""
+    some = labelled.sample(docs, docs.select("doc_id"), 7, 1).collect()
+    assert len(some) == 7 and sorted(some) == sorted(labelled.sample(docs.repartition(5), docs.select("doc_id"), 7, 1).collect())
 
 
 @pytest.mark.parametrize("name", ["op3_toxicity", "op8_pu_quality"])
