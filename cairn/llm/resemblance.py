@@ -6,9 +6,11 @@ at most 2 bits.  There are so many parts that texts of exactly SIMILARITY meet i
 often; the width grows with the number of texts, so that unlike texts seldom meet.  64 further bits, and then the whole sketch, discard
 those that did.  What remains is verified by the exact Jaccard similarity of the sets of shingles.
 
-A bucket with over CROWD texts is not compared as it is: texts of all such buckets are dealt out in blocks, and each block is compared
-with each.  First only the NEAREST of each text are verified; then all candidates between components that these links have not joined yet,
-so that nothing is left out and a family of copies costs few verifications.
+A bucket with over CROWD texts is not compared as it is; `crowded_links` takes the texts of all such buckets.  They are dealt into random
+blocks of bounded size, and within a block all links are found exactly; the texts with most links, one of each component of a block, are
+dealt out again.  Families of copies become one component by this, in time proportional to their size.  What can still be missing are
+links between different components, so buckets are compared once more, for pairs of different components only: first the NEAREST of each
+text, then all.  Buckets that one component fills vanish, and a component that fills much of a bucket is split over tasks.
 
 Defined results: null and empty texts have an empty set and are alike; a text with fewer words than a shingle is one shingle; repeated
 shingles count once.
@@ -16,6 +18,7 @@ shingles count once.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -24,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from .anchors import ranges
 from .common import lean, spool, unspool, whole
-from .components import components
+from .components import components, forest
 
 SEED, SIMILARITY, RECALL = 42, 0.8, 0.995
 CROWD, BLOCK, NEAREST = 64, 256, 3
+#: Rounds of blocks at most, and rows of a bucket's largest component that one task compares.
+LEVELS, SPLIT = 6, 4096
 #: Bits of 64 in which texts of SIMILARITY hardly ever differ (5 standard deviations), and that share of a whole sketch.
 CHECK_BITS, FAR = 24, 0.25
 
@@ -118,6 +124,27 @@ def dealt(nodes: DataFrame, width: int, parts: int, size: int) -> DataFrame:
     return nodes.select("id", "sketch").mapInArrow(lean(run), "key long, id long, mark long")
 
 
+def whole_groups(batches, by: int):
+    """Columns of sorted batches, joined so that rows that agree in the first `by` columns stay together."""
+    held, rows = [], 0
+    for batch in batches:
+        part = [np.asarray(c) for c in batch.columns]
+        if not len(part[0]):
+            continue
+        held.append(part)
+        rows += len(part[0])
+        if rows < 1 << 16:
+            continue
+        now = [np.concatenate(x) for x in zip(*held)]
+        same = np.logical_and.reduce([x == x[-1] for x in now[:by]])
+        end = int(np.argmax(same))  # the last group may go on
+        held, rows = [[x[end:] for x in now]], len(now[0]) - end
+        if end:
+            yield [x[:end] for x in now]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def met(keys: DataFrame) -> DataFrame:
     """Pairs a < b that share a key and whose marks are near; b is null where a lies in a crowded bucket."""
 
@@ -143,22 +170,8 @@ def met(keys: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([got[:, 0], lone])), pa.array(b, mask=np.arange(len(b)) >= len(got))], ["a", "b"])
 
     def run(batches):
-        held, rows = [], 0
-        for batch in batches:
-            part = [np.asarray(c) for c in batch.columns]
-            if not len(part[0]):
-                continue
-            held.append(part)
-            rows += len(part[0])
-            if rows < 1 << 16 or part[0][0] == part[0][-1]:
-                continue
-            now = [np.concatenate(x) for x in zip(*held)]
-            end = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on
-            held, rows = [[x[end:] for x in now]], len(now[0]) - end
-            if end:
-                yield pairs(*(x[:end] for x in now))
-        if held:
-            yield pairs(*(np.concatenate(x) for x in zip(*held)))
+        for held in whole_groups(batches, 1):
+            yield pairs(*held)
 
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "a long, b long")
 
@@ -177,17 +190,26 @@ def plausible(pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return both.mapInArrow(lean(run), "a long, b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
-    """The pairs of exact similarity SIMILARITY or more, as a table of its own."""
-    pairs = spool(pairs)
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("id").alias("a"), "lead"), "a").select("a", F.col("lead.k1").alias("k1"), F.col("lead.k2").alias("k2"))
+def held_sets(wanted: DataFrame, df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
+    """(a, s_a): the sets of shingles of wanted(a, k1, k2), as a table of its own."""
     texts = df.select(F.xxhash64(doc_id, whole(text)).alias("k1"), F.xxhash64(F.lit(1), whole(text), doc_id).alias("k2"), whole(text).alias("text")).join(wanted, ["k1", "k2"]).select("a", "text")
 
     def sets(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["a", "s_a"])
 
-    held = spool(texts.mapInArrow(lean(sets), "a long, s_a binary").dropDuplicates(["a"]))
+    return spool(texts.mapInArrow(lean(sets), "a long, s_a binary").dropDuplicates(["a"]))
+
+
+def leads(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, k1, k2): a row that has the set of each of ids(a)."""
+    return ids.distinct().join(nodes.select(F.col("id").alias("a"), "lead"), "a").select("a", F.col("lead.k1").alias("k1"), F.col("lead.k2").alias("k2"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
+    """The pairs of exact similarity SIMILARITY or more, as a table of its own."""
+    pairs = spool(pairs)
+    held = held_sets(leads(pairs.select("a").union(pairs.select("b")), nodes), df, text, doc_id, words)
 
     def run(batches):
         for b in batches:
@@ -204,32 +226,102 @@ def verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text: str, doc_i
     return out
 
 
-def block_pairs(crowded: DataFrame, n: int, size: int, nearest: bool) -> DataFrame:
-    """Pairs of crowded(id, root, sketch), each compared with all others block by block: the NEAREST of each text in a block, or all
-    between different roots."""
-    g = -(-n // BLOCK)
-    own = F.pmod(F.xxhash64("id"), F.lit(g)).cast("long")
-    rows = crowded.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long"))))
-    rows = rows.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct("id", "root", "own", "sketch").alias("x"))
+def alike(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all pairs of sets that have SIMILARITY or more, the smaller place first."""
+    size = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out_a, out_b = [], []
+    for i, s in enumerate(sets):
+        lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+        same = np.bincount(owner[ranges(lo, hi - lo)], minlength=len(sets))
+        j = np.flatnonzero(same >= SIMILARITY * (size + size[i] - same) - 1e-9)
+        j = j[j > i]
+        out_a.append(np.full(len(j), i)), out_b.append(j)
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def block_links(sets: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """(a, b): the links within random blocks of sets(a, s_a), as forests; and (a, null) for one text of each component of a block."""
 
     def run(batches):
         for batch in batches:
-            for i, j, xs in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, root, own = (np.array([x[f] for x in xs], np.int64) for f in ("id", "root", "own"))
-                s = np.frombuffer(b"".join(x["sketch"] for x in xs), np.uint64).reshape(-1, size)
-                d = np.stack([np.bitwise_count(s ^ v).sum(1, dtype=np.int64) for v in s])
-                d[(own[:, None] == own) & (i != j)] = 64 * size  # pairs of one block meet in its own
-                np.fill_diagonal(d, 64 * size)
-                if nearest:
-                    a = np.repeat(np.arange(len(s)), min(NEAREST, len(s)))
-                    b = np.argsort(d, axis=1, kind="stable")[:, :NEAREST].ravel()
-                    ok = d[a, b] <= FAR * 64 * size
-                    a, b = a[ok], b[ok]
-                else:
-                    a, b = np.nonzero(np.triu((d <= FAR * 64 * size) & (root[:, None] != root), 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
-
-    return rows.groupBy("i", "j").agg(F.collect_list("x").alias("xs")).mapInArrow(lean(run), "a long, b long")
+            for xs in batch.column(0).to_pylist():
+                ids, own = np.array([x["a"] for x in xs], np.int64), [np.frombuffer(x["s_a"], np.uint64) for x in xs]
+                x, y = alike(own)
+                degree = np.bincount(np.concatenate([x, y]), minlength=len(ids))
+                a, b = forest(x, y) if len(x) else (x, y)
+                root = np.arange(len(ids))
+                root[a] = b
+                best = np.lexsort([ids, -degree, root])
+                first = best[np.concatenate([[True], root[best][1:] != root[best][:-1]])]
+                null = np.concatenate([np.zeros(len(a), bool), np.ones(len(first), bool)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate([a, first])]), pa.array(ids[np.concatenate([b, first])], mask=null)], ["a", "b"])
+
+    rows = sets.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "a"), F.lit(blocks)))
+    return rows.groupBy("block").agg(F.collect_list(F.struct("a", "s_a")).alias("xs")).select("xs").mapInArrow(lean(run), "a long, b long")
+
+
+def contracted(sets: DataFrame, n: int) -> DataFrame:
+    """(a, b): links among sets(a, s_a) that blocks find, block after block of those that lead, until there is one block or little falls."""
+    now, links, drop = sets, [], []
+    for level in range(LEVELS):
+        got = spool(block_links(now, -(-n // BLOCK), level))
+        links.append(got.filter("b is not null"))
+        drop.append(got)
+        lead = got.filter("b is null").select("a")
+        before, n = n, lead.count()
+        if before <= BLOCK or n > 0.9 * before:
+            break
+        now = now.join(lead, "a")
+    out = spool(functools.reduce(DataFrame.union, links))
+    unspool(*drop)
+    return out
+
+
+def between(known: DataFrame, width: int, parts: int, size: int, nearest: bool) -> DataFrame:
+    """(a, b): pairs of known(id, root, sketch) that share a key, with different roots and near marks: the NEAREST of each text in a bucket,
+    or all."""
+    keys = dealt(known, width, parts, size).join(known.select("id", "root"), "id")
+    sums = keys.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    sums = spool(sums.filter("roots > 1").select("key", F.col("main.root").alias("main"), F.ceil(F.col("main.n") / SPLIT).cast("int").alias("salts")))
+    rows = keys.join(sums, "key")
+    salt = F.when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    rows = rows.withColumn("salt", F.explode(salt)).select("key", "salt", (F.col("root") == F.col("main")).alias("is_main"), "root", "id", "mark")
+
+    def pairs(main, root, ids, mark):
+        """Those outside the bucket's main component against all of the bucket."""
+        out = []
+        for i in np.flatnonzero(~main).tolist():
+            d = np.bitwise_count(mark ^ mark[i])
+            ok = np.flatnonzero((d <= CHECK_BITS) & (root != root[i]))
+            if nearest and len(ok) > NEAREST:
+                ok = ok[np.argsort(d[ok], kind="stable")[:NEAREST]]
+            out.append(np.stack([np.minimum(ids[ok], ids[i]), np.maximum(ids[ok], ids[i])], 1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+    def run(batches):
+        for held in whole_groups(batches, 2):
+            key, salt, main, root, ids, mark = held
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
+            got = [pairs(*(x[a:z] for x in (main, root, ids)), mark[a:z].view(np.uint64)) for a, z in zip(new.tolist(), [*new[1:].tolist(), len(key)])]
+            got = np.unique(np.concatenate(got), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(lean(run), "a long, b long").distinct()
+
+
+def crowded_links(crowded: DataFrame, n: int, links: DataFrame, check, sets: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """links and further ones that join the components of crowded(id, sketch) as all links would."""
+    links = spool(links.union(contracted(sets, n)))
+    for nearest in (True, False):
+        tree = components(links)
+        known = spool(crowded.join(tree, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("root"), "sketch"))
+        more = check(between(known, *shape, nearest))
+        old, links = links, spool(links.union(more))
+        unspool(tree, known, more, old)
+    return links
 
 
 def resembling(df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
@@ -242,16 +334,14 @@ def resembling(df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     nodes = spool(rows.groupBy("node").agg(F.min(lead).alias("lead"), F.min("n").alias("n"), F.min("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()))
     found = spool(met(dealt(nodes, width, parts, size)).distinct())
     check = lambda pairs: verified(plausible(pairs.distinct(), nodes, size), nodes, df, text, doc_id, words)
-    crowded = spool(found.filter("b is null").select(F.col("a").alias("id")).join(nodes.select("id", "sketch"), "id"))
+    crowded = spool(found.filter("b is null").select(F.col("a").alias("id")).distinct().join(nodes.select("id", "sketch"), "id"))
     n = crowded.count()
-    pairs = found.filter("b is not null")
-    links = check(pairs.union(block_pairs(crowded.withColumn("root", F.col("id")), n, size, True)) if n else pairs)
-    tree = components(links)
+    links = check(found.filter("b is not null"))
     if n:
-        known = crowded.join(tree, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("root"), "sketch")
-        more = check(block_pairs(known, n, size, False))
-        tree = components(links.union(more))
-        unspool(more)
+        sets = held_sets(leads(crowded.select(F.col("id").alias("a")), nodes), df, text, doc_id, words)
+        links = crowded_links(crowded, n, links, check, sets, (width, parts, size))
+        unspool(sets)
+    tree = components(links)
     unspool(found, crowded, links)
     rooted = nodes.join(tree, F.col("id") == F.col("a"), "left").select("node", "lead", F.coalesce("b", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min("lead").alias("first"))

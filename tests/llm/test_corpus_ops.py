@@ -224,6 +224,7 @@ def test_similar_texts(spark, monkeypatch, crowd):
     """Copies of a similarity of 0.8 or more go, as brute force over exact similarities says; less similar ones stay."""
     monkeypatch.setattr(resemblance, "CROWD", crowd)
     monkeypatch.setattr(resemblance, "BLOCK", 8)
+    monkeypatch.setattr(resemblance, "SPLIT", 2)
     rng, texts = random.Random(3), ["", None, "short", "Short ", "one two three four five six"]
     for i in range(40):
         base = prose(rng, 160).split()
@@ -244,6 +245,31 @@ def test_similar_texts(spark, monkeypatch, crowd):
     assert sorted(r[0] for r in left.select("doc_id").collect()) == sorted(want)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), max_size=8), min_size=1, max_size=12))
+def test_alike(values):
+    sets = [np.array(sorted(v), np.uint64) for v in values]
+    a, b = resemblance.alike(sets)
+    want = {(i, j) for j in range(len(values)) for i in range(j) if len(values[i] & values[j]) >= 0.8 * len(values[i] | values[j]) - 1e-9}
+    assert {*zip(a.tolist(), b.tolist())} == want
+
+
+def test_large_family(spark, monkeypatch):
+    """A family of copies much larger than a block, some of them too far from all others, against brute force."""
+    monkeypatch.setattr(resemblance, "CROWD", 10)
+    monkeypatch.setattr(resemblance, "BLOCK", 16)
+    rng, base = random.Random(9), prose(random.Random(8), 150).split()
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(2, 148, 4), 30 if i % 15 == 0 else rng.randint(0, 5)):
+            w[at] = "new" + str(rng.randrange(10**6))
+        texts.append(" ".join(w))
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    left = simhash.deduplicate(docs(spark, rows).repartition(5))
+    assert {r["doc_id"] for r in left.collect()} == brute_near([*enumerate(texts)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (300, 299), (-5, 300)]
     got = {r["a"]: r["b"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
