@@ -6,11 +6,12 @@ at most 2 bits.  There are so many parts that texts of exactly SIMILARITY meet i
 often; the width grows with the number of texts, so that unlike texts seldom meet.  64 further bits, and then the whole sketch, discard
 those that did.  What remains is verified by the exact Jaccard similarity of the sets of shingles.
 
-A bucket with over CROWD texts is not compared as it is; `crowded_links` takes the texts of all such buckets.  They are dealt into random
+A bucket with over CROWD texts, or a bucket of whole parts with over CLOSE, is not compared as it is; `crowded_links` takes the texts of
+all such buckets.  They are dealt into random
 blocks of bounded size, and within a block all links are found exactly; the texts with most links, one of each component of a block, are
 dealt out again.  Families of copies become one component by this, in time proportional to their size.  What can still be missing are
-links between different components, so buckets are compared once more, for pairs of different components only: first the NEAREST of each
-text, then all.  Buckets that one component fills vanish, and a component that fills much of a bucket is split over tasks.
+links between different components.  Texts that are connected by crowded buckets make a family; those outside a family's largest
+component are compared with all of the family, block by block, from their sets of shingles, so that no pair but a link is ever a row.
 
 Defined results: null and empty texts have an empty set and are alike; a text with fewer words than a shingle is one shingle; repeated
 shingles count once.
@@ -32,8 +33,8 @@ from .common import lean, spool, unspool, whole
 from .components import components, forest
 
 SEED, SIMILARITY, RECALL = 42, 0.8, 0.995
-CROWD, BLOCK, NEAREST = 64, 256, 3
-#: Rounds of blocks at most, and rows of a bucket's largest component that one task compares.
+CROWD, CLOSE, BLOCK = 32, 4, 256
+#: Rounds of blocks at most, and texts of a family that a block is compared with in one task.
 LEVELS, SPLIT = 6, 4096
 #: Bits of 64 in which texts of SIMILARITY hardly ever differ (5 standard deviations), and that share of a whole sketch.
 CHECK_BITS, FAR = 24, 0.25
@@ -106,22 +107,43 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, size)
 
 
+def keys_of(sketches: np.ndarray, width: int, parts: int) -> np.ndarray:
+    """The key of each part of each sketch."""
+    bits = np.unpackbits(sketches.view(np.uint8), axis=1)[:, 64 : 64 + width * parts].reshape(len(sketches), parts, width)
+    return (bits @ (1 << np.arange(width, dtype=np.int64))) + (np.arange(parts, dtype=np.int64) << 32)
+
+
+def close(nodes: DataFrame, width: int, parts: int, size: int) -> DataFrame:
+    """(a, b): texts a and marks b < 0 of the buckets of whole parts that over CLOSE texts share."""
+
+    def run(batches):
+        for b in batches:
+            ids, s = np.asarray(b.column(0)), matrix(b.column(1), size)
+            for i in range(0, len(ids), 256):
+                keys = keys_of(s[i : i + 256], width, parts)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[i : i + 256], parts))], ["key", "id"])
+
+    own = spool(nodes.select("id", "sketch").mapInArrow(lean(run), "key long, id long"))
+    many = spool(own.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CLOSE).select("key"))
+    out = spool(own.join(many, "key").select(F.col("id").alias("a"), (-1 - F.col("key")).alias("b")))
+    unspool(own, many)
+    return out
+
+
 def dealt(nodes: DataFrame, width: int, parts: int, size: int) -> DataFrame:
-    """(key, id, mark): each sketch under its parts and those one bit away."""
+    """(key, id, mark, family): each of nodes(id, sketch, family) under its parts and those one bit away."""
     flip = np.concatenate([[0], 1 << np.arange(width)]).astype(np.int64)
 
     def run(batches):
         for b in batches:
-            ids, s = np.asarray(b.column(0)), matrix(b.column(1), size)
+            ids, s, family = np.asarray(b.column(0)), matrix(b.column(1), size), np.asarray(b.column(2))
             for i in range(0, len(ids), 256):
                 few = s[i : i + 256]
-                bits = np.unpackbits(few.view(np.uint8), axis=1)[:, 64 : 64 + width * parts].reshape(len(few), parts, width)
-                keys = (bits @ (1 << np.arange(width, dtype=np.int64))) + (np.arange(parts, dtype=np.int64) << 32)
-                keys = (keys[:, :, None] ^ flip).reshape(len(few), -1)
+                keys = (keys_of(few, width, parts)[:, :, None] ^ flip).reshape(len(few), -1)
                 k = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[i : i + 256], k)), pa.array(np.repeat(few[:, 0], k).view(np.int64))], ["key", "id", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, k)) for x in (ids[i : i + 256], few[:, 0].view(np.int64), family[i : i + 256]))], ["key", "id", "mark", "family"])
 
-    return nodes.select("id", "sketch").mapInArrow(lean(run), "key long, id long, mark long")
+    return nodes.select("id", "sketch", "family").mapInArrow(lean(run), "key long, id long, mark long, family long")
 
 
 def whole_groups(batches, by: int):
@@ -146,28 +168,28 @@ def whole_groups(batches, by: int):
 
 
 def met(keys: DataFrame) -> DataFrame:
-    """Pairs a < b that share a key and whose marks are near; b is null where a lies in a crowded bucket."""
+    """Pairs a < b of different families that share a key and whose marks are near; for a in a crowded bucket, b is below 0 and says which
+    one."""
 
-    def pairs(key, ids, mark):
+    def pairs(key, ids, mark, family):
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.concatenate([new, [len(key)]]))
         crowd = np.repeat(sizes > CROWD, sizes)
-        lone = ids[crowd]
+        lone = np.unique(np.stack([ids[crowd], -1 - key[crowd]], 1), axis=0)
         many = ~crowd & np.repeat(sizes > 1, sizes)
-        key, ids, mark = key[many], ids[many], mark[many].view(np.uint64)
+        key, ids, mark, family = key[many], ids[many], mark[many].view(np.uint64), family[many]
         out, at, d = [], np.arange(len(key)), 1
         while True:  # at: rows whose bucket goes on for d rows
             at = at[at + d < len(key)]
             at = at[key[at] == key[at + d]]
             if not len(at):
                 break
-            near = at[np.bitwise_count(mark[at] ^ mark[at + d]) <= CHECK_BITS]
+            near = at[(family[at] != family[at + d]) & (np.bitwise_count(mark[at] ^ mark[at + d]) <= CHECK_BITS)]
             out.append(np.stack([np.minimum(ids[near], ids[near + d]), np.maximum(ids[near], ids[near + d])], 1))
             d += 1
         got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        lone = np.unique(lone)
-        b = np.concatenate([got[:, 1], np.zeros(len(lone), np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([got[:, 0], lone])), pa.array(b, mask=np.arange(len(b)) >= len(got))], ["a", "b"])
+        got = np.concatenate([got, lone])
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
     def run(batches):
         for held in whole_groups(batches, 1):
@@ -176,11 +198,13 @@ def met(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "a long, b long")
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """The pairs whose sizes and whole sketches allow SIMILARITY."""
-    one = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    two = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    both = pairs.join(one, "a").join(two, "b").filter(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b") - 1e-6).select("a", "b", "s_a", "s_b")
+def plausible(pairs: DataFrame, nodes: DataFrame, family: DataFrame, size: int) -> DataFrame:
+    """The pairs whose sizes and whole sketches allow SIMILARITY, but for those within a family: all of these are compared elsewhere."""
+    one = nodes.join(family, F.col("id") == F.col("a"), "left").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"), F.col("b").alias("f_a"))
+    two = one.select(F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("s_a").alias("s_b"), F.col("f_a").alias("f_b"))
+    apart = ~F.coalesce(F.col("f_a") == F.col("f_b"), F.lit(False))
+    fit = (F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b") - 1e-6) & apart
+    both = pairs.join(one, "a").join(two, "b").filter(fit).select("a", "b", "s_a", "s_b")
 
     def run(batches):
         for b in batches:
@@ -226,17 +250,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text: str, doc_i
     return out
 
 
+def similar(index: tuple[np.ndarray, np.ndarray, np.ndarray], s: np.ndarray) -> np.ndarray:
+    """Which sets of an index (sorted shingles, whose they are, sizes of the sets) have SIMILARITY or more to s."""
+    flat, owner, size = index
+    lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+    same = np.bincount(owner[ranges(lo, hi - lo)], minlength=len(size))
+    return same >= SIMILARITY * (size + len(s) - same) - 1e-9
+
+
 def alike(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The places of all pairs of sets that have SIMILARITY or more, the smaller place first."""
     size = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    index = flat[order], owner[order], size
     out_a, out_b = [], []
     for i, s in enumerate(sets):
-        lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-        same = np.bincount(owner[ranges(lo, hi - lo)], minlength=len(sets))
-        j = np.flatnonzero(same >= SIMILARITY * (size + size[i] - same) - 1e-9)
+        j = np.flatnonzero(similar(index, s))
         j = j[j > i]
         out_a.append(np.full(len(j), i)), out_b.append(j)
     return np.concatenate(out_a), np.concatenate(out_b)
@@ -280,48 +310,55 @@ def contracted(sets: DataFrame, n: int) -> DataFrame:
     return out
 
 
-def between(known: DataFrame, width: int, parts: int, size: int, nearest: bool) -> DataFrame:
-    """(a, b): pairs of known(id, root, sketch) that share a key, with different roots and near marks: the NEAREST of each text in a bucket,
-    or all."""
-    keys = dealt(known, width, parts, size).join(known.select("id", "root"), "id")
-    sums = keys.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    sums = spool(sums.filter("roots > 1").select("key", F.col("main.root").alias("main"), F.ceil(F.col("main.n") / SPLIT).cast("int").alias("salts")))
-    rows = keys.join(sums, "key")
-    salt = F.when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    rows = rows.withColumn("salt", F.explode(salt)).select("key", "salt", (F.col("root") == F.col("main")).alias("is_main"), "root", "id", "mark")
-
-    def pairs(main, root, ids, mark):
-        """Those outside the bucket's main component against all of the bucket."""
-        out = []
-        for i in np.flatnonzero(~main).tolist():
-            d = np.bitwise_count(mark ^ mark[i])
-            ok = np.flatnonzero((d <= CHECK_BITS) & (root != root[i]))
-            if nearest and len(ok) > NEAREST:
-                ok = ok[np.argsort(d[ok], kind="stable")[:NEAREST]]
-            out.append(np.stack([np.minimum(ids[ok], ids[i]), np.maximum(ids[ok], ids[i])], 1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+def across(known: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between different roots of a family in known(id, family, root), as forests of the blocks in which they are found."""
+    sums = known.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
+    sums = spool(sums.filter(F.col("all") > F.col("main.n")).select("family", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("g"), F.ceil(F.col("all") / SPLIT).alias("h")))
+    rows = known.join(sums, "family").join(sets, F.col("id") == F.col("a")).select("family", "id", "root", "main", "g", "h", "s_a")
+    some, one = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1)), lambda of: F.pmod(F.xxhash64("id"), F.col(of))
+    outside = rows.filter(F.col("root") != F.col("main")).withColumn("i", one("g")).withColumn("j", some("h")).withColumn("side", F.lit(0))
+    every = rows.withColumn("i", some("g")).withColumn("j", one("h")).withColumn("side", F.lit(1))
+    both = outside.unionByName(every).select("family", "i", "j", "side", "id", "root", "s_a").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side")
 
     def run(batches):
-        for held in whole_groups(batches, 2):
-            key, salt, main, root, ids, mark = held
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
-            got = [pairs(*(x[a:z] for x in (main, root, ids)), mark[a:z].view(np.uint64)) for a, z in zip(new.tolist(), [*new[1:].tolist(), len(key)])]
-            got = np.unique(np.concatenate(got), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+        group, ids, roots, held, index, got = None, [], [], [], None, []
 
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(lean(run), "a long, b long").distinct()
+        def links():
+            x, y = np.array(got, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (forest(x, y) if len(x) else (x, y))], ["a", "b"])
 
-
-def crowded_links(crowded: DataFrame, n: int, links: DataFrame, check, sets: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """links and further ones that join the components of crowded(id, sketch) as all links would."""
+        for b in batches:
+            for family, i, j, side, own, root, data in zip(*(c.to_pylist() for c in b.columns)):
+                if group != (family, i, j):
+                    if got:
+                        yield links()
+                    group, ids, roots, held, index, got = (family, i, j), [], [], [], None, []
+                s = np.frombuffer(data, np.uint64)
+                if side == 0:
+                    ids.append(own), roots.append(root), held.append(s)
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    size = np.array([len(x) for x in held])
+                    flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), size)
+                    order = np.argsort(flat, kind="stable")
+                    index, other = (flat[order], owner[order], size), np.array(roots)
+                got += [(ids[k], own) for k in np.flatnonzero(similar(index, s) & (other != root)).tolist()]
+        if got:
+            yield links()
+
+    return both.mapInArrow(lean(run), "a long, b long").distinct()
+
+
+def crowded_links(crowded: DataFrame, n: int, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """links and further ones that join the components of crowded(id, family) as all links would."""
     links = spool(links.union(contracted(sets, n)))
-    for nearest in (True, False):
-        tree = components(links)
-        known = spool(crowded.join(tree, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("root"), "sketch"))
-        more = check(between(known, *shape, nearest))
-        old, links = links, spool(links.union(more))
-        unspool(tree, known, more, old)
-    return links
+    tree = components(links)
+    known = spool(crowded.join(tree, F.col("id") == F.col("a"), "left").select("id", "family", F.coalesce("b", "id").alias("root")))
+    out = spool(links.union(across(known, sets)))
+    unspool(tree, known, links)
+    return out
 
 
 def resembling(df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
@@ -332,15 +369,20 @@ def resembling(df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     rows = spool(sketched(df, text, doc_id, words, size))
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     nodes = spool(rows.groupBy("node").agg(F.min(lead).alias("lead"), F.min("n").alias("n"), F.min("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()))
-    found = spool(met(dealt(nodes, width, parts, size)).distinct())
-    check = lambda pairs: verified(plausible(pairs.distinct(), nodes, size), nodes, df, text, doc_id, words)
-    crowded = spool(found.filter("b is null").select(F.col("a").alias("id")).distinct().join(nodes.select("id", "sketch"), "id"))
+    near = close(nodes, width, parts, size)
+    first = components(near)
+    grouped = nodes.join(first, F.col("id") == F.col("a"), "left").select("id", "sketch", F.coalesce("b", "id").alias("family"))
+    found = spool(met(dealt(grouped, width, parts, size)).distinct())
+    family = components(near.union(found.filter("b < 0")))
+    unspool(near, first)
+    crowded = spool(family.filter("a >= 0").select(F.col("a").alias("id"), F.col("b").alias("family")))
     n = crowded.count()
-    links = check(found.filter("b is not null"))
+    links = verified(plausible(found.filter("b >= 0"), nodes, family, size), nodes, df, text, doc_id, words)
     if n:
         sets = held_sets(leads(crowded.select(F.col("id").alias("a")), nodes), df, text, doc_id, words)
-        links = crowded_links(crowded, n, links, check, sets, (width, parts, size))
+        links = crowded_links(crowded, n, links, sets)
         unspool(sets)
+    unspool(family)
     tree = components(links)
     unspool(found, crowded, links)
     rooted = nodes.join(tree, F.col("id") == F.col("a"), "left").select("node", "lead", F.coalesce("b", "id").alias("root"))
