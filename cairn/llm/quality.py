@@ -49,6 +49,8 @@ UNIT, KEPT, PRIOR, SEED = 1024, 0.75, 50, 29
 #: Rows of a group that starts are searched among, random starts, and those that go on; steps at most, and the part by which a determinant
 #: must fall for another one; bins of distance for each doubling, and in all.
 SUBSET, TRIES, BEST, MOST, GAIN, OCTAVE, BINS = 300, 20, 2, 20, 1e-3, 64, 1920
+#: Rows of a model (under 1 KB each) that may be broadcast; salts of a larger one.
+FEW, SALTS = 20_000, 64
 #: The group of all rows.
 EVERY = ""
 #: The 0.9999 quantile and the median of the chi-square distribution with 4 degrees of freedom.
@@ -176,11 +178,20 @@ def model_row(center: np.ndarray, cov: np.ndarray) -> dict:
     return {"center": center.tolist(), "cov": cov.ravel().tolist(), "inverse": np.linalg.inv(full).ravel().tolist()}
 
 
+def beside(rows: DataFrame, model: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows with what a spooled model has for their keys.  A model of up to FEW rows is broadcast; a larger one is joined by keys and a
+    salt, for one group may have most rows."""
+    if model.count() <= FEW:
+        return rows.join(F.broadcast(model), keys, how)
+    salted = model.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*STATS), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def starts(base: DataFrame, group: str) -> DataFrame:
     """(group, start, center, cov, inverse): where the concentration of each group begins, from SUBSET of its rows by hash."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(SEED), *STATS, "n_words"), *STATS)
-    some = base.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= SUBSET)  # of each task, so many rows of a group at most
-    lists = some.groupBy(group).agg(F.collect_list(F.array(*STATS)).alias("x"))
+    hashed = F.xxhash64(F.lit(SEED), *STATS, "n_words")
+    slots = base.groupBy(group, F.pmod(hashed, F.lit(SUBSET)).alias("slot")).agg(F.min(F.struct(hashed.alias("h"), F.array(*STATS).alias("x"))).alias("one"))
+    lists = slots.groupBy(group).agg(F.collect_list("one.x").alias("x"))  # SUBSET at most
     schema = T.StructType([base.schema[group], T.StructField("start", T.IntegerType()), *MODEL])
 
     def run(batches):
@@ -198,13 +209,13 @@ def step(base: DataFrame, model: DataFrame, group: str) -> DataFrame:
     a group's rows: whole bins of distance, and of the bin at its edge as large a share as is wanting."""
     n = len(STATS)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    near = base.join(model.select(group, "start", "center", "inverse"), group).withColumn("bin", bin_of(distance()))
+    near = beside(base, model.select(group, "start", "center", "inverse"), [group]).withColumn("bin", bin_of(distance()))
     counts = near.groupBy(group, "start", "bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy(group, "start")
     ranked = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("size", F.sum("n").over(w)).withColumn("want", F.ceil(F.col("size") * KEPT))
     edge = ranked.filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")))
-    edge = spool(edge.select(F.col(group).alias("_g"), F.col("start").alias("_s"), F.col("bin").alias("edge"), "size", ((F.col("want") - F.col("upto") + F.col("n")) / F.col("n")).alias("share")))
-    both = near.join(edge, (F.col(group) == F.col("_g")) & (F.col("start") == F.col("_s")) & (F.col("bin") <= F.col("edge")))
+    edge = spool(edge.select(group, "start", F.col("bin").alias("edge"), "size", ((F.col("want") - F.col("upto") + F.col("n")) / F.col("n")).alias("share")))
+    both = beside(near, edge, [group, "start"]).filter(F.col("bin") <= F.col("edge"))
     parts = {"n": F.lit(1), **{f"s{i}": F.col(STATS[i]) for i in range(n)}, **{f"p{i}{j}": F.col(STATS[i]) * F.col(STATS[j]) for i, j in pairs}}
     names = [*parts]
     sums = both.groupBy(group, "start").agg(F.first("size").alias("size"), F.first("share").alias("share"), *(F.sum(F.when(F.col("bin") < F.col("edge"), x)).alias(f"in_{k}") for k, x in parts.items()), *(F.sum(F.when(F.col("bin") == F.col("edge"), x)).alias(f"at_{k}") for k, x in parts.items()))
@@ -270,7 +281,7 @@ def fit(df: DataFrame, group: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, kind)
 
     model = spool(found.filter(F.col(group) != EVERY).mapInArrow(lean(run), schema))
-    counts = own.join(model, group).groupBy(group, bin_of(distance()).alias("bin")).agg(F.count("*").alias("n"))
+    counts = beside(own, model, [group]).groupBy(group, bin_of(distance()).alias("bin")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(group)
     ranked = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     mid = ranked.filter(F.col("upto") * 2 >= F.col("all")).groupBy(group).agg(F.min("bin").alias("mid"))
@@ -287,7 +298,7 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     own = spool(measured.select(F.struct(*rest).alias("row"), F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s"))).alias("pair"), *(F.col(a).alias(b) for a, b in names.items())))
     rows = statistics(own.withColumn("base_failed", base_failed()))
     model = fit(rows.filter(~F.col("base_failed")), "pair")
-    out = rows.join(model, "pair", "left").withColumn("d2", distance() / F.col("scale"))
+    out = beside(rows, model, ["pair"], "left").withColumn("d2", distance() / F.col("scale"))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUT, F.lit(True)))
     back = {b: a for a, b in names.items()}
     last = fresh([*rest, *names], "base_failed", "d2", "kept")

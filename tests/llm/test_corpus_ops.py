@@ -378,9 +378,11 @@ def brute_mcd(x, kept, ridge, tries=200):
     return best
 
 
-def test_estimates_against_numpy(spark, monkeypatch):
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_estimates_against_numpy(spark, monkeypatch, few):
     """Robust estimates of two groups with outliers, some rows few enough to begin from all: as the best of many starts by brute force."""
     monkeypatch.setattr(quality, "PRIOR", 0)
+    monkeypatch.setattr(quality, "FEW", few)
     rng = np.random.default_rng(3)
     groups = {}
     for g, n in (("a", 900), ("b", 200)):
