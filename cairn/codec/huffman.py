@@ -117,3 +117,35 @@ def decode_flagged(stream: dict, n: int) -> np.ndarray:
             code, width, at = code << 1 | data[at], width + 1, at + 1
         out.append(by_code[width, code])
     return np.array(out, np.int64)
+
+
+def fits(values: np.ndarray, top: int, limit: int = LIMIT) -> bool:
+    """Whether codes of the `top` most frequent symbols stay within the `limit` bits of a decoder's table."""
+    symbols, counts = np.unique(np.asarray(values, np.int64), return_counts=True)
+    best = np.sort(np.lexsort([symbols, -counts])[:top])
+    return not len(best) or max(codebook(symbols[best], counts[best])[1]) <= limit
+
+
+def largest_top(values: np.ndarray, limit: int = LIMIT) -> int:
+    """A number of symbols whose codes fit the decoder's table, while one more symbol's would not: by halving the range."""
+    low, high = 1, len(np.unique(values)) + 1  # low fits; high does not, or there are no more symbols
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if fits(values, mid, limit) else (low, mid)
+    return low
+
+
+def interleaved(lengths: list[np.ndarray], word: int = 32, ahead: int = 2) -> list[tuple[int, int]]:
+    """(lane, word): the words of lanes that decode side by side, in the order in which they are read.  Each lane holds `ahead` words; it
+    reads another one at the step at which it has used one up.  lengths: the bits of each step of each lane."""
+    step, lane, which = [], [], []
+    for j, own in enumerate(lengths):
+        end = np.cumsum(own)
+        words = -(-int(end[-1]) // word) if len(end) else 0
+        # word i is read once word i - ahead is used up
+        used = np.searchsorted(end, np.maximum(0, np.arange(words) - ahead + 1) * word, side="left") + 1
+        used[:ahead] = 0
+        step.append(used), lane.append(np.full(words, j)), which.append(np.arange(words))
+    step, lane, which = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (step, lane, which))
+    order = np.lexsort([which, lane, step])
+    return [*zip(lane[order].tolist(), which[order].tolist())]

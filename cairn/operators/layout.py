@@ -30,6 +30,26 @@ def deltas(df: DataFrame, batch: int = BATCH, chain: int = CHAIN) -> DataFrame:
     return chained(df, batch, chain).withColumns({f"d{a.lower()}": F.coalesce(F.col(a) - F.lag(a).over(w), F.lit(0)) for a in "XYZ"})
 
 
+def batch_deltas(df: DataFrame, batch: int = BATCH) -> DataFrame:
+    """points with differences dx, dy, dz in millimetres from the point before in the same batch; from 0 at its start."""
+    w = Window.partitionBy("batch_id").orderBy("point_id")
+    rows = chained(df, batch).withColumns({f"_{a}": F.round(F.col(f"w{a}") * 1000).cast("long") for a in "xyz"})
+    return rows.withColumns({f"d{a}": F.col(f"_{a}") - F.coalesce(F.lag(f"_{a}").over(w), F.lit(0)) for a in "xyz"}).drop("_x", "_y", "_z")
+
+
+def padded(df: DataFrame, batch: int = BATCH) -> DataFrame:
+    """points in batches, the last of which its last point fills up."""
+    last = chained(df.orderBy(F.desc("point_id")).limit(1), batch)
+    missing = F.lit(batch - 1).cast("long") - F.pmod(F.col("point_id"), F.lit(batch))
+    more = last.filter(missing > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), missing))).drop("_copy")
+    return chained(df, batch).unionByName(more)
+
+
+def timings(df: DataFrame, label: str = "label", took: str = "took") -> DataFrame:
+    """The least, greatest and mean duration of each label, and how many there are."""
+    return df.groupBy(label).agg(F.min(took).alias("least"), F.max(took).alias("greatest"), F.avg(took).alias("mean"), F.count("*").alias("n"))
+
+
 def undelta(df: DataFrame) -> DataFrame:
     """The coordinates of a chain from its start value and differences: running sums."""
     w = Window.partitionBy("batch_id", "chain_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

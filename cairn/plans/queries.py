@@ -684,3 +684,6 @@ def vector_functions(spark, sf_dir):
     a, b = ("wx", "wy", "wz"), ("r", "g", "b")
     x, y, z = expr.cross(a, b)
     return world(spark, sf_dir).select("point_id", F.round(expr.dot(a, b), 2).alias("dot"), F.round(x, 2).alias("cx"), F.round(y, 2).alias("cy"), F.round(z, 2).alias("cz"), F.round(expr.length(a), 4).alias("length"))
+
+
+from . import storage  # noqa: E402, F401  adds its queries to QUERIES and SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -100,6 +101,41 @@ def write_workgroups(points: DataFrame, path: str, size: int) -> None:
     layout.running_offsets(own).write.parquet(f"{path}/batches")
 
 
+def write_octree(coded: DataFrame, grown: DataFrame, capacity: int, levels: int, path: str, scale: float = 0.01) -> None:
+    """An octree on disk: leaves of grown(level, prefix, n) hold points of coded(morton, X, Y, Z, r, g, b).  Records of nodes are laid out on
+    the driver; points pass through it a batch at a time, in the order of their codes, which is the order of the leaves."""
+    from ..sources.octree import RECORD
+
+    digits = lambda level, prefix: [prefix >> 3 * (level - i) & 7 for i in range(1, level + 1)]
+    name = lambda level, prefix: "".join(str((d & 1) << 2 | d & 2 | d >> 2) for d in digits(level, prefix))  # noqa: E731  bit 2 is x on disk
+    rows = {name(r["level"], r["prefix"]): r for r in grown.collect()}
+    leaf = {k: r for k, r in rows.items() if r["n"] <= capacity or r["level"] == levels}
+    at, start = 0, {}
+    for k, r in sorted(leaf.items(), key=lambda x: x[1]["prefix"] << 3 * (levels - x[1]["level"])):
+        start[k], at = at, at + 18 * r["n"]
+    order, out = [""], b""
+    for k in order:  # level by level, children after their parents
+        children = [c for c in range(8) if f"{k}{c}" in rows]
+        order += [f"{k}{c}" for c in children]
+        n = rows[k]["n"] if k in leaf else 0
+        out += RECORD.pack(1 if k in leaf else 0, sum(1 << c for c in children), n, start.get(k, 0), 18 * n)
+    box = coded.agg(*(f(a).alias(f"{m}_{a}") for m, f in (("min", F.min), ("max", F.max)) for a in "XYZ")).first()
+    low, size = [box[f"min_{a}"] * scale for a in "XYZ"], max(box[f"max_{a}"] - box[f"min_{a}"] for a in "XYZ") * scale
+    meta = {"points": at // 18, "spacing": size / 128, "scale": [scale] * 3, "offset": [0.0] * 3, "boundingBox": {"min": low, "max": [v + size for v in low]}, "hierarchy": {"firstChunkSize": len(out)}, "attributes": [{"name": "position", "size": 12}, {"name": "rgb", "size": 6}]}
+    for file, data in (("metadata.json", json.dumps(meta).encode()), ("hierarchy.bin", out)):
+        with open(os.path.join(path, file), "wb") as f:
+            f.write(data)
+    kind = np.dtype([("xyz", "<i4", 3), ("rgb", "<u2", 3)])
+    with open(os.path.join(path, "octree.bin"), "wb") as f:
+        part = []
+        for r in coded.orderBy("morton").select("X", "Y", "Z", "r", "g", "b").toLocalIterator():
+            part.append((r[:3], r[3:]))
+            if len(part) == 1 << 16:
+                f.write(np.array(part, kind).tobytes())
+                part = []
+        f.write(np.array(part, kind).tobytes())
+
+
 def image_of(fb: DataFrame, cam: Camera, background: int = 0x443322) -> np.ndarray:
     """The picture of a framebuffer (pixel_id, rgb): as many values as the image has pixels."""
     out = np.full(cam.width * cam.height, background, np.int64)

@@ -32,3 +32,9 @@ def tiles(spark: SparkSession, n: int, pixels) -> DataFrame:
     rows = rows.select("tile", "u", "v", "cuts", F.explode(F.sequence(F.lit(0), F.col("cuts") * F.col("cuts") - 1)).alias("part"))
     size = F.lit(1.0 / n) / F.col("cuts")
     return rows.select("tile", "part", (F.col("u") + F.pmod("part", "cuts") * size).alias("u"), (F.col("v") + F.floor(F.col("part") / F.col("cuts")) * size).alias("v"), size.alias("size"))
+
+
+def diagonal(spark: SparkSession, n: int) -> DataFrame:
+    """A test pattern: n points along the diagonal of the unit cube."""
+    t = F.col("id") / F.lit(float(n))
+    return spark.range(n).select(F.col("id").alias("point_id"), *(t.alias(a) for a in "xyz"))

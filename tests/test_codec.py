@@ -82,3 +82,29 @@ def test_batch(n, color):
     assert np.array_equal(got, xyz) and colors.shape == rgb.shape
     if color == "none":
         assert np.array_equal(colors, rgb)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 12), max_size=60), min_size=1, max_size=5))
+def test_interleaved_words(lanes):
+    """Against lanes that are decoded step by step, each holding two words."""
+    lengths = [np.array(x, np.int64) for x in lanes]
+    total = [-(-int(x.sum()) // 32) if len(x) else 0 for x in lengths]
+    read, want, used = [0] * len(lanes), [], [0] * len(lanes)
+    for j, n in enumerate(total):
+        read[j] = min(2, n)
+        want += [(j, i) for i in range(read[j])]
+    for step in range(max(map(len, lanes))):
+        for j, x in enumerate(lanes):
+            if step < len(x):
+                used[j] += x[step]
+                while read[j] < total[j] and read[j] - used[j] // 32 < 2:
+                    want.append((j, read[j]))
+                    read[j] += 1
+    assert huffman.interleaved(lengths) == want
+
+
+def test_largest_top():
+    v = np.repeat(np.arange(40), np.minimum(2 ** np.arange(40), 5000))
+    top = huffman.largest_top(v, 8)
+    assert huffman.fits(v, top, 8) and not huffman.fits(v, top + 1, 8) and huffman.largest_top(np.array([7, 7]), 8) == 1
