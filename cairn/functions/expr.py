@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Num = Column | float | int
@@ -233,6 +233,16 @@ def ray_hits(box: Sequence[str], origin: Sequence[float], direction: Sequence[fl
     return out
 
 
+# rows
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row.  Plain columns are copied into every filter, key and column that names them, as
+    often as it does, and the code of a projection that grows beyond what the JVM compiles runs interpreted; a generated row of one
+    struct is not copied."""
+    return df.select("*", F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+
+
 # text
 
 

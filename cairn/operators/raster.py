@@ -16,7 +16,7 @@ TOLERANCE = 1.01
 def projected(df: DataFrame, cam: Camera) -> DataFrame:
     """points(wx, wy, wz, ..) that fall on the image, with depth and pixel_id."""
     x, y, w = expr.clip(cam.transform(), "wx", "wy", "wz")
-    rows = df.withColumns({"cx": x, "cy": y, "depth": w}).filter("depth > 0")
+    rows = expr.once(df, cx=x, cy=y, depth=w).filter("depth > 0")
     rows = rows.withColumns({"nx": F.col("cx") / F.col("depth"), "ny": F.col("cy") / F.col("depth")})
     rows = rows.filter("nx >= -1 and nx <= 1 and ny >= -1 and ny <= 1")
     rows = rows.withColumns({"px": expr.pixel(F.col("nx"), cam.width), "py": expr.pixel(F.col("ny"), cam.height)})

@@ -59,15 +59,12 @@ def sample(df: DataFrame, drop: int, last: bool = False) -> DataFrame:
 
 def node_boxes(nodes: DataFrame, low: tuple[float, float, float], size: float) -> DataFrame:
     """Boxes of nodes within a cube: from the bits of their prefix."""
-    out = nodes
-    for axis, name in enumerate("xyz"):
-        # bit 3*i + axis of the prefix is bit i of the cell along the axis
-        cell = F.expr(f"aggregate(sequence(0, 20), 0L, (s, i) -> s | shiftleft(shiftright(prefix, 3 * i + {axis}) & 1, i))")
-        out = out.withColumn(f"_c{name}", cell)
+    # bit 3*i + axis of the prefix is bit i of the cell along the axis
+    cell = lambda axis: F.expr(f"aggregate(sequence(0, 20), 0L, (s, i) -> s | shiftleft(shiftright(prefix, 3 * i + {axis}) & 1, i))")
     edge = F.lit(size) / F.pow(F.lit(2.0), "level")
-    for axis, name in enumerate("xyz"):
-        out = out.withColumn(f"min_{name}", F.lit(low[axis]) + F.col(f"_c{name}") * edge).withColumn(f"max_{name}", F.lit(low[axis]) + (F.col(f"_c{name}") + 1) * edge)
-    return out.drop("_cx", "_cy", "_cz")
+    out = expr.once(nodes, _cx=cell(0), _cy=cell(1), _cz=cell(2), _edge=edge)
+    sides = {f"{m}_{a}": F.lit(low[i]) + (F.col(f"_c{a}") + F.lit(int(m == "max"))) * F.col("_edge") for i, a in enumerate("xyz") for m in ("min", "max")}
+    return expr.once(out, **sides).drop("_cx", "_cy", "_cz", "_edge")
 
 
 def visible_nodes(boxes: DataFrame, cam, least: float = 0.4) -> DataFrame:
