@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr
-from ..points import BATCH, BOX, CHAIN, chained
+from ..points import BATCH, BOX, CHAIN, chained, sums_before
 
 
 def batches(df: DataFrame, size: int = BATCH) -> DataFrame:
@@ -138,18 +139,26 @@ def block_shuffled(df: DataFrame, block: int = 128, seed: int = 1) -> DataFrame:
 
 def running_offsets(b: DataFrame, size: str = "num_points") -> DataFrame:
     """batches with the sum of the sizes before each."""
-    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    return b.withColumn("offset", F.sum(size).over(w) - F.col(size))
+    return sums_before(b, "batch_id", size, "offset").select(*b.columns, F.col("offset").cast("long").alias("offset"))
 
 
 def greedy_bins(b: DataFrame, limit: int) -> DataFrame:
     """Bins of consecutive nodes: a bin ends with the node that takes its points over the limit.  Each bin depends on the one before, so
-    this folds the (small) list of nodes in order, as an aggregate of one row."""
-    rows = b.agg(F.sort_array(F.collect_list(F.struct("batch_id", "num_points"))).alias("l"))
-    start = "named_struct('bin', 0L, 'sum', 0L, 'out', cast(array() as array<struct<batch_id: bigint, num_points: bigint, bin: bigint>>))"
-    full = f"s.sum + x.num_points > {limit}"
-    step = f"named_struct('bin', if({full}, s.bin + 1, s.bin), 'sum', if({full}, 0L, s.sum + x.num_points), 'out', concat(s.out, array(named_struct('batch_id', x.batch_id, 'num_points', x.num_points, 'bin', s.bin))))"
-    return rows.select(F.explode(F.expr(f"aggregate(l, {start}, (s, x) -> {step}, s -> s.out)")).alias("x")).select("x.*")
+    one task passes over the list of nodes in order, two numbers a node, and holds a batch of it."""
+
+    def run(parts):
+        number = total = 0
+        for part in parts:
+            out = []
+            for n in part.column(1).to_pylist():
+                out.append(number)
+                total += n
+                if total > limit:
+                    number, total = number + 1, 0
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int64())], ["batch_id", "num_points", "bin"])
+
+    rows = b.select(F.col("batch_id").cast("long"), F.col("num_points").cast("long"))
+    return rows.repartition(1).sortWithinPartitions("batch_id").mapInArrow(run, "batch_id long, num_points long, bin long")
 
 
 def run_shares(run_rows: DataFrame) -> DataFrame:

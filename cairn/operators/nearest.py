@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Query vectors that a broadcast holds.
+HELD = 50_000
+
 
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two vectors, added up in their order."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def candidates(vectors: DataFrame, queries: DataFrame, vec: str, key: str) -> DataFrame:
+    """(query_id, key, distance): each query against all other vectors.  The queries are counted; of more than HELD, blocks of about as
+    many are broadcast one after the other."""
+    blocks = max(1, -(-queries.count() // HELD))
+    own = vectors.select(key, F.col(vec).cast("array<double>").alias("_v"))
+    q = queries.select(F.col(key).alias("query_id"), F.col(vec).cast("array<double>").alias("_q"))
+    parts = [q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [q]
+    rows = [own.join(F.broadcast(p), F.col(key) != F.col("query_id")).select("query_id", key, distance(F.col("_v"), F.col("_q")).alias("distance")) for p in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k nearest vectors of each query vector, itself left out.  queries is a stated set of bounded size: it is broadcast, each task
-    keeps the k nearest of its rows, and only those are shuffled."""
-    q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vec).cast("array<double>").alias("_q")))
-    rows = vectors.select(key, F.col(vec).cast("array<double>").alias("_v")).join(q, F.col(key) != F.col("query_id"))
-    rows = rows.select("query_id", key, distance(F.col("_v"), F.col("_q")).alias("distance"))
+    """The k nearest vectors of each query vector of a stated set, itself left out: each task keeps the k nearest of its rows, and only
+    those are shuffled."""
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    return rows.withColumn("rank", best.cast("long")).filter(F.col("rank") <= k)
+    return candidates(vectors, queries, vec, key).withColumn("rank", best.cast("long")).filter(F.col("rank") <= k)
 
 
 def radius(vectors: DataFrame, queries: DataFrame, within: float, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """The vectors nearer than `within` to each query vector of a stated set."""
-    q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vec).cast("array<double>").alias("_q")))
-    rows = vectors.select(key, F.col(vec).cast("array<double>").alias("_v")).join(q, F.col(key) != F.col("query_id"))
-    return rows.select("query_id", key, distance(F.col("_v"), F.col("_q")).alias("distance")).filter(F.col("distance") < within)
+    return candidates(vectors, queries, vec, key).filter(F.col("distance") < within)
 
 
 def grid_neighbours(points: DataFrame, within: float) -> DataFrame:

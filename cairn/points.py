@@ -6,28 +6,56 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Keys of a block of prefix sums; how much more than its share a range may hold; partitions of sampled bounds at most.
+COARSE, UNEVEN, MOST_PARTS = 4096, 8, 100_000
 #: Scale and offset of the lattice, points of a batch and of a chain, rows that one task numbers.
 SCALE, OFFSET, BATCH, CHAIN, BUCKET = 0.01, 0.0, 4096, 64, 65536
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
 BOX = ("min_x", "min_y", "min_z", "max_x", "max_y", "max_z")
 
 
+def sums_before(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """df(key, value, ..), one row for each key, with the sum of the values of lower keys: within blocks of keys, and over blocks."""
+    block = F.floor(F.col(key) / COARSE)
+    inner = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    rows = df.withColumn("_block", block)
+    coarse = rows.groupBy("_block").agg(F.sum(value).alias("_sum")).select("_block", F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_base"))
+    rows = rows.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return rows.join(coarse, "_block").withColumn(name, F.col("_base") + F.col("_inner")).drop("_block", "_base", "_inner")
+
+
 def numbered(df: DataFrame, order: tuple[str, ...], name: str = "point_id", rows: int = BUCKET) -> DataFrame:
     """df with the position of each row, from 0, in a total order that begins with a column of numbers.
 
     Rows fall into ranges of that column, ranges are numbered each on its own, and the counts of the ranges before are added: only the
-    counts meet in one task."""
+    counts meet.  Ranges of equal width serve if none holds over UNEVEN times its share; else rows are dealt by sampled bounds of all of
+    the order's columns, which splits clustered and equal values, too."""
     lead = order[0]
     low, high, n = df.agg(F.min(lead), F.max(lead), F.count("*")).first()
     if not n:
         return df.withColumn(name, F.lit(0).cast("long"))
     parts = max(1, -(-n // rows))
     bucket = F.coalesce(F.floor((F.col(lead) - F.lit(low)).cast("double") * float(parts) / (float(high - low) + 1.0)), F.lit(-1)).cast("long")
-    df = df.withColumn("_bucket", bucket)
-    sizes = df.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    dealt = df.withColumn("_bucket", bucket)
+    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    if parts > 1 and sizes.agg(F.max("_n")).first()[0] > UNEVEN * rows:
+        return numbered_by_range(df, order, name, min(parts, MOST_PARTS))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return df.withColumn("_own", own).join(before, "_bucket").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_bucket", "_own", "_before")
+    return dealt.withColumn("_own", own).join(sums_before(sizes, "_bucket", "_n", "_before").drop("_n"), "_bucket").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_bucket", "_own", "_before")
+
+
+def numbered_by_range(df: DataFrame, order: tuple[str, ...], name: str, parts: int) -> DataFrame:
+    """The same by sorted partitions of sampled bounds.  They are written to the shared folder, because bounds are sampled anew whenever a
+    plan runs."""
+    from .workspace import workspace
+
+    spark, path = df.sparkSession, workspace(df.sparkSession, "ranges")
+    place = F.monotonically_increasing_id()  # the partition's number, and below it 33 bits of the row's place in the partition
+    df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_part": F.shiftright(place, 33), "_own": place.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = sums_before(rows.groupBy("_part").agg(F.count("*").alias("_n")), "_part", "_n", "_before").drop("_n")
+    return rows.join(before, "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:

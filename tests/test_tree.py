@@ -29,3 +29,31 @@ def test_view_is_deeper_than_five_levels(spark, sf_dir):
 
     rows = tree.grown(plans.coded(spark, sf_dir), 4, 21)
     assert rows.agg(F.max("level")).first()[0] > 5
+
+
+def test_numbers_of_clustered_rows(spark, monkeypatch):
+    """Rows that mostly share one value of the order's first column, and a constant column: numbered as sorted."""
+    from cairn import points as p
+
+    monkeypatch.setattr(p, "UNEVEN", 2)
+    for values in ([7] * 900 + [10**12, 0, 8], [5] * 300, list(range(400))):
+        df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "a long, b long").repartition(5)
+        got = {(r["a"], r["b"]): r["n"] for r in p.numbered(df, ("a", "b"), "n", 50).collect()}
+        assert got == {x: i for i, x in enumerate(sorted((v, i) for i, v in enumerate(values)))}
+
+
+def test_sums_before(spark, monkeypatch):
+    from cairn import points as p
+
+    monkeypatch.setattr(p, "COARSE", 4)
+    got = p.sums_before(spark.createDataFrame([(i, i * i) for i in range(0, 30, 2)], "k long, v long"), "k", "v", "s").orderBy("k").collect()
+    assert [r["s"] for r in got] == [sum(j * j for j in range(0, r["k"], 2)) for r in got]
+
+
+def test_queries_in_blocks(spark, sf_dir, monkeypatch):
+    from cairn.operators import nearest
+
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    want = nearest.knn(v, v.filter("vec_id % 10 = 0"), 3).collect()
+    monkeypatch.setattr(nearest, "HELD", 2)
+    assert sorted(nearest.knn(v, v.filter("vec_id % 10 = 0"), 3).collect()) == sorted(want) and len(want) % 3 == 0
