@@ -38,6 +38,8 @@ CROWD, CLOSE, BLOCK = 32, 4, 256
 LEVELS, SPLIT = 6, 4096
 #: Bits of 64 in which texts of SIMILARITY hardly ever differ (5 standard deviations), and that share of a whole sketch.
 CHECK_BITS, FAR = 24, 0.25
+#: Rows of keys that a task sorts, about, and tasks at most: beyond, tasks sort more, and spill.
+TASK, TASKS = 1 << 19, 1 << 16
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -167,9 +169,9 @@ def whole_groups(batches, by: int):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def met(keys: DataFrame) -> DataFrame:
+def met(keys: DataFrame, rows: int) -> DataFrame:
     """Pairs a < b of different families that share a key and whose marks are near; for a in a crowded bucket, b is below 0 and says which
-    one."""
+    one.  There are `rows` keys at most, which are dealt to so many tasks that each holds a bounded part."""
 
     def pairs(key, ids, mark, family):
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -195,7 +197,7 @@ def met(keys: DataFrame) -> DataFrame:
         for held in whole_groups(batches, 1):
             yield pairs(*held)
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "a long, b long")
+    return keys.repartition(min(TASKS, -(-rows // TASK)), "key").sortWithinPartitions("key").mapInArrow(lean(run), "a long, b long")
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, family: DataFrame, size: int) -> DataFrame:
@@ -364,7 +366,8 @@ def crowded_links(crowded: DataFrame, n: int, links: DataFrame, sets: DataFrame)
 def resembling(df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     """(k1, k2, stays) for each row of df: of each component of texts with a similarity of SIMILARITY or more, the pair of the smallest id
     stays."""
-    width, parts = layout(max(2, df.count()))
+    n = max(2, df.count())
+    width, parts = layout(n)
     size = 1 + -(-width * parts // 64)
     rows = spool(sketched(df, text, doc_id, words, size))
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
@@ -372,7 +375,7 @@ def resembling(df: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     near = close(nodes, width, parts, size)
     first = components(near)
     grouped = nodes.join(first, F.col("id") == F.col("a"), "left").select("id", "sketch", F.coalesce("b", "id").alias("family"))
-    found = spool(met(dealt(grouped, width, parts, size)).distinct())
+    found = spool(met(dealt(grouped, width, parts, size), n * parts * (width + 1)).distinct())
     family = components(near.union(found.filter("b < 0")))
     unspool(near, first)
     crowded = spool(family.filter("a >= 0").select(F.col("a").alias("id"), F.col("b").alias("family")))
