@@ -36,6 +36,8 @@ LATIN = rf" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{D
 SHORT = 48
 #: Words that a worker remembers; the table is emptied when it is full.
 REMEMBERED = 300_000
+#: Characters of the texts that are split into words at once, about; a longer text alone.
+TOGETHER = 1 << 19
 NONE = np.int32(2**31 - 1)
 
 
@@ -194,7 +196,17 @@ class Codec:
         return out + self.words(text[at:])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned 32-bit integers.  The words of TOGETHER characters are held at once."""
+        out, some, size = [], [], 0
+        for t in texts:
+            if some and size + len(t) > TOGETHER:
+                out += self.together(some)
+                some, size = [], 0
+            some.append(t)
+            size += len(t)
+        return out + self.together(some)
+
+    def together(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         known = self.known
         new = set().union(*split).difference(known)
