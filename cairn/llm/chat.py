@@ -19,12 +19,14 @@ Defined results: null roles and texts count as empty; a null kind counts as `mes
 numbers are put in order by kind, role and text, and repeated events count each; events that name a message that does not exist begin
 none and change none (a delta without any message begins one with an empty role); unknown kinds are passed over; null conversations make
 up one conversation; an empty log gives an empty table; other columns are not read.  A fold holds the texts of one conversation at a
-time, beyond SPOOLED bytes in a scratch file of the task.
+time, beyond SPOOLED bytes in a scratch file of the task, where Spark itself spills to; no other task reads it, and a task that runs again
+writes its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import tempfile
 
@@ -76,7 +78,7 @@ class Conversation:
     """The fold's state: roles and texts so far, the texts in a file that leaves memory when it grows."""
 
     def __init__(self):
-        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOLED)
+        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOLED, dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
         self.messages: list[tuple[str, list[tuple[int, int]]]] = []
 
     def store(self, text: str) -> tuple[int, int]:

@@ -214,12 +214,17 @@ def test_log_of_turns(spark):
     assert digests == {c: len(x) for c, x in want.items()} and chat.as_events(df.limit(0)).count() == 0
 
 
-def test_large_conversations_leave_memory(monkeypatch):
+def test_large_conversations_leave_memory(monkeypatch, tmp_path):
     monkeypatch.setattr(chat, "SPOOLED", 100)
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", f"{tmp_path},/nowhere")
     c = chat.Conversation()
     for i in range(50):
         c.apply("message", None, "user", f"text {i} " * 10)
     assert [t for _, t in c] == [f"text {i} " * 10 for i in range(50)] and c.file._rolled
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", "/nowhere")
+    c = chat.Conversation()
+    with pytest.raises(FileNotFoundError):
+        c.apply("message", None, "user", "long " * 100)
 
 
 def test_op9(spark, sf_dir, duck):
