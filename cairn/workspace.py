@@ -11,9 +11,12 @@ from pyspark.sql import SparkSession
 
 
 def workspace(spark: SparkSession, name: str = "work") -> str:
-    """A new folder under the session's checkpoint folder; without one (tests, a single machine), under a temporary folder."""
+    """A new folder under the session's checkpoint folder.  A session on one machine (tests) that has none gets a temporary folder; on a
+    cluster, where executors could not see it, that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="cairn-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)

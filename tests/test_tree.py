@@ -57,3 +57,15 @@ def test_queries_in_blocks(spark, sf_dir, monkeypatch):
     want = nearest.knn(v, v.filter("vec_id % 10 = 0"), 3).collect()
     monkeypatch.setattr(nearest, "HELD", 2)
     assert sorted(nearest.knn(v, v.filter("vec_id % 10 = 0"), 3).collect()) == sorted(want) and len(want) % 3 == 0
+
+
+def test_clusters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from cairn.workspace import workspace
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        workspace(bare)
