@@ -27,6 +27,8 @@ from .common import spool, table, whole
 SEED = 17
 #: Weights of the sources by code point, repeating; the budget against all words; the most epochs of a source.
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
+#: The least and the greatest quality weight.
+LEAST, MOST = 0.1, 1e6
 #: Documents of a bucket, about, and buckets of a coarse one.
 BUCKET, COARSE = 256, 512
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,17 +40,21 @@ def size() -> F.Column:
     return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).cast("long")
 
 
-def weight() -> F.Column:
-    """The quality weight of a document, from 0.1 to 1: the share of its characters that are neither symbols nor digits."""
+def weight(quality: str | None = None) -> F.Column:
+    """The quality weight of a document: what the column `quality` says (a classifier's score, say), LEAST at least, and LEAST for null or NaN.
+    Without such a column, from 0.1 to 1, the share of its characters that are neither symbols nor digits."""
+    if quality is not None:
+        q = F.col(quality).cast("double")
+        return F.when(q.isNull() | F.isnan(q), F.lit(LEAST)).otherwise(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), q)))
     plain = F.length(F.translate(whole(), "#*$%&|<>{}[]\\^~=+_0123456789", ""))
-    return F.greatest(F.lit(0.1), plain / F.greatest(F.lit(1), F.length(whole())))
+    return F.greatest(F.lit(LEAST), plain / F.greatest(F.lit(1), F.length(whole())))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, quality: str | None = None) -> DataFrame:
     """docs with `size`, `weight`, `key` (ascending order is the order of the draw) and `tie`."""
     tie = F.xxhash64(F.lit(SEED), F.col("doc_id"), whole())
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), tie), 11).cast("double") + 0.5) / float(1 << 53)
-    out = docs.withColumns({"size": size(), "weight": weight(), "tie": tie})
+    out = docs.withColumns({"size": size(), "weight": weight(quality), "tie": tie})
     return out.withColumn("key", -F.log(u) / F.col("weight"))
 
 
@@ -72,18 +78,31 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("final").isNull(), F.col("most")).otherwise(F.least("most", F.col("final") * F.col("w"))).alias("target"))
 
 
+def sources(drawn: DataFrame) -> DataFrame:
+    """(source, source_size, n, classes): classes are the mean and the number of the source's weights, two classes to each doubling."""
+    by_class = drawn.groupBy("source", F.floor(2 * F.log2("weight")).alias("class")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.avg("weight").alias("weight"))
+    return by_class.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n"), F.collect_list(F.struct("weight", "n")).alias("classes"))
+
+
+def in_buckets(drawn: DataFrame, goal: DataFrame) -> DataFrame:
+    """drawn with `rest` and `bucket`, from goal(source, n, classes, rest).  A bucket is how many keys of the source are expected below a
+    document's, in steps of BUCKET, so buckets stay small however far the weights lie apart."""
+    d = drawn.join(goal.select(F.col("source").alias("source_"), "n", "classes", "rest"), drawn["source"].eqNullSafe(F.col("source_"))).drop("source_")
+    many = F.ceil(F.col("n") / BUCKET)
+    below = F.aggregate("classes", F.lit(0.0), lambda s, c: s + c["n"] * (1 - F.exp(-F.col("key") * c["weight"])))
+    return d.withColumn("bucket", F.least(many - 1, F.floor(many * below / F.col("n"))).cast("long")).drop("classes")
+
+
 def plan(drawn: DataFrame) -> DataFrame:
-    """(source, source_size, target, epochs, cut_key, cut_tie) from keyed(source, size, weight, key, tie): the mix takes `epochs` of each
+    """(source, source_size, target, epochs, cut_key, cut_tie, inside) from keyed(source, size, weight, key, tie): the mix takes `epochs` of each
     document, and one more of those up to the cut (null: none)."""
-    sums = drawn.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("weight").alias("mean"))
+    sums = sources(drawn)
     goal = targets(sums.select("source", "source_size"))
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    goal = spool(goal.alias("g").join(sums.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))).select("g.*", "s.n", "s.mean"))
-    d = drawn.join(goal.select(F.col("source").alias("source_"), "n", "mean", "rest"), drawn["source"].eqNullSafe(F.col("source_"))).drop("source_")
-    many = F.ceil(F.col("n") / BUCKET)
-    d = d.withColumn("bucket", F.least(many - 1, F.floor(many * (1 - F.exp(-F.col("key") * F.col("mean"))))).cast("long"))
+    goal = spool(goal.alias("g").join(sums.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))).select("g.*", "s.n", "s.classes"))
+    d = in_buckets(drawn, goal)
     fine = d.groupBy("source", "bucket").agg(F.sum("size").alias("size")).withColumn("coarse", F.floor(F.col("bucket") / COARSE))
     up = lambda by, order: F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     coarse = fine.groupBy("source", "coarse").agg(F.sum("size").alias("size")).withColumn("base", up(["source"], "coarse"))
@@ -114,12 +133,13 @@ def copies(drawn: DataFrame, made: DataFrame) -> DataFrame:
     return d.withColumn("copies", F.col("epochs") + more.cast("long")).drop("source_", "epochs", "cut_key", "cut_tie", "inside")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs(doc_id, text, source, ..), each as many times as the mix holds it."""
-    own = ["size", "weight", "key", "tie", "copies", "source_size", "target"]
-    rest = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
-    made = plan(spool(keyed(rest).select("source", "size", "weight", "key", "tie")))
-    out = copies(keyed(rest), made).filter(F.col("copies") > 0)
+def mix(docs: DataFrame, quality: str | None = None) -> DataFrame:
+    """The rows of docs(doc_id, text, source, ..), each as many times as the mix holds it; quality is a column of weights (see `weight`)."""
+    own = F.lit(None).cast("double") if quality is None else F.col(quality)
+    rest = docs.select("doc_id", "text", "source", own.alias("_quality"), F.struct(*docs.columns).alias("_row"))
+    drawn = keyed(rest, quality and "_quality")
+    made = plan(spool(drawn.select("source", "size", "weight", "key", "tie")))
+    out = copies(drawn, made).filter(F.col("copies") > 0)
     return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("_row.*")
 
 

@@ -328,6 +328,20 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_by_quality(spark, monkeypatch):
+    """Weights that a column gives, far apart, null, NaN, zero and below: rows that weigh more come first, and no bucket holds a class of them."""
+    weights = [0.1, 1e5, None, float("nan"), 0.0, -3.0]
+    df = docs(spark, [(i, "one two three four", None, "a", 1) for i in range(6000)]).withColumn("_quality", F.element_at(F.array(*(F.lit(w).cast("double") for w in weights)), (F.col("doc_id") % 6 + 1).cast("int")))
+    monkeypatch.setattr(mixing, "SHARE", 1 / 12)
+    out = mixing.mix(df, "_quality").collect()
+    assert 490 <= len(out) <= 510 and {r["doc_id"] % 6 for r in out} == {1} and out[0].asDict().keys() == set(df.columns)
+    drawn = mixing.keyed(df, "_quality")
+    rows = mixing.in_buckets(drawn, mixing.sources(drawn).withColumn("rest", F.lit(0.0)))
+    assert rows.groupBy("bucket").count().agg(F.max("count")).first()[0] < 2 * mixing.BUCKET
+    order = [r["bucket"] for r in rows.orderBy("key").collect()]
+    assert order == sorted(order) and mixing.mix(df.limit(0), "_quality").count() == 0
+
+
 def test_mix_takes_by_key(spark):
     """What is taken beyond whole epochs are the least keys: brute force over all rows."""
     rng = random.Random(8)
