@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr
-from ..points import BATCH, BOX, CHAIN, chained, sums_before
+from ..points import BATCH, BOX, CHAIN, chained, dealt, sums_before
+from ..workspace import written
 
 
 def batches(df: DataFrame, size: int = BATCH) -> DataFrame:
@@ -25,10 +27,13 @@ def box(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def deltas(df: DataFrame, batch: int = BATCH, chain: int = CHAIN) -> DataFrame:
-    """points with differences dx, dy, dz from the point before in the same chain; 0 at its start."""
+def deltas(df: DataFrame, batch: int = BATCH, chain: int = CHAIN, rows: int | None = None) -> DataFrame:
+    """points with differences dx, dy, dz from the point before in the same chain; 0 at its start.  Batches stay whole from here on, so what
+    is asked of a batch needs no further shuffle; with the number of rows, they are dealt to tasks of a bounded number."""
     w = Window.partitionBy("batch_id", "chain_id").orderBy("pos")
-    return chained(df, batch, chain).withColumns({f"d{a.lower()}": F.coalesce(F.col(a) - F.lag(a).over(w), F.lit(0)) for a in "XYZ"})
+    own = chained(df, batch, chain)
+    own = own.repartition("batch_id") if rows is None else dealt(own, rows, "batch_id")
+    return own.withColumns({f"d{a.lower()}": F.coalesce(F.col(a) - F.lag(a).over(w), F.lit(0)) for a in "XYZ"})
 
 
 def batch_deltas(df: DataFrame, batch: int = BATCH) -> DataFrame:
@@ -63,31 +68,86 @@ def symbols(df: DataFrame) -> DataFrame:
     return df.select("batch_id", F.explode(F.array("dx", "dy", "dz")).alias("symbol"))
 
 
+def numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns of a batch, in the order of its points."""
+    if "point_id" in table.column_names:
+        ids = table.column("point_id").to_numpy()
+        if (ids[1:] < ids[:-1]).any():
+            table = table.sort_by("point_id")
+    return [table.column(n).to_numpy() for n in names]
+
+
+def counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of a batch, how often it holds each, their ranks from 0 (the most frequent first, ties by the smaller symbol), and for
+    each point the places of its three symbols."""
+    found, place, n = np.unique(np.stack(numbers(table, "dx", "dy", "dz"), 1), return_inverse=True, return_counts=True)
+    rank = np.empty(len(found), np.int64)
+    rank[np.lexsort((found, -n))] = np.arange(len(found))
+    return found, n, rank, place.reshape(-1, 3)
+
+
+def of_batch(table: pa.Table, **columns) -> pa.Table:
+    """Rows of a batch: its number and these columns."""
+    n = len(next(iter(columns.values())))
+    return pa.table({"batch_id": pa.array(np.full(n, table.column("batch_id")[0].as_py(), np.int64)), **columns})
+
+
 def histogram(df: DataFrame) -> DataFrame:
-    """How often each batch holds each symbol."""
-    return symbols(df).groupBy("batch_id", "symbol").agg(F.count("*").alias("n"))
+    """How often each batch holds each symbol.  A batch is counted as a whole by one task: its points are bounded, and most of its symbols
+    are different, so that their counts would be no less to shuffle than they are."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found, n, _, _ = counted(table)
+        return of_batch(table, symbol=found, n=n)
+
+    return df.select("batch_id", "dx", "dy", "dz").groupBy("batch_id").applyInArrow(run, "batch_id long, symbol long, n long")
 
 
 def top_symbols(df: DataFrame, k: int) -> DataFrame:
     """The k most frequent symbols of each batch, ties by the smaller symbol."""
-    w = Window.partitionBy("batch_id").orderBy(F.desc("n"), "symbol")
-    return histogram(df).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+    def run(table: pa.Table) -> pa.Table:
+        found, n, rank, _ = counted(table)
+        best = np.argsort(rank)[:k]
+        return of_batch(table, symbol=found[best], n=n[best], rank=np.arange(1, len(best) + 1))
+
+    return df.select("batch_id", "dx", "dy", "dz").groupBy("batch_id").applyInArrow(run, "batch_id long, symbol long, n long, rank long")
 
 
 def coverage(df: DataFrame, k: int) -> DataFrame:
     """The share of each batch's differences that its k most frequent symbols cover."""
-    hist = histogram(df)
-    w = Window.partitionBy("batch_id").orderBy(F.desc("n"), "symbol")
-    ranked = hist.withColumn("rank", F.row_number().over(w))
-    return ranked.groupBy("batch_id").agg((F.sum(F.when(F.col("rank") <= k, F.col("n")).otherwise(0)) / F.sum("n")).alias("coverage"))
+
+    def run(table: pa.Table) -> pa.Table:
+        _, n, rank, _ = counted(table)
+        return of_batch(table, coverage=np.array([int(n[rank < k].sum()) / int(n.sum())]))
+
+    return df.select("batch_id", "dx", "dy", "dz").groupBy("batch_id").applyInArrow(run, "batch_id long, coverage double")
+
+
+def flags(table: pa.Table, k: int) -> np.ndarray:
+    """Whether all three differences of each point of a batch are among its k most frequent."""
+    _, _, rank, place = counted(table)
+    return (rank < k)[place].all(1)
 
 
 def good_points(df: DataFrame, k: int) -> DataFrame:
     """Points with a flag: all three differences are among the k most frequent of their batch."""
-    top = top_symbols(df, k).select("batch_id", "symbol")
-    long = df.select("batch_id", "point_id", F.explode(F.array("dx", "dy", "dz")).alias("symbol"))
-    hit = long.join(top.withColumn("hit", F.lit(1)), ["batch_id", "symbol"], "left")
-    return hit.groupBy("batch_id", "point_id").agg((F.count("hit") == 3).alias("good"))
+
+    def run(table: pa.Table) -> pa.Table:
+        return of_batch(table, point_id=numbers(table, "point_id")[0], good=flags(table, k))
+
+    return df.select("batch_id", "point_id", "dx", "dy", "dz").groupBy("batch_id").applyInArrow(run, "batch_id long, point_id long, good boolean")
+
+
+def good_runs(df: DataFrame, k: int) -> DataFrame:
+    """The same as runs(good_points(df, k)), without a table of flags between."""
+
+    def run(table: pa.Table) -> pa.Table:
+        edge = np.diff(np.concatenate([[0], flags(table, k).view(np.int8), [0]]))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        return of_batch(table, start=numbers(table, "point_id")[0][start], len=end - start)
+
+    return df.select("batch_id", "point_id", "dx", "dy", "dz").groupBy("batch_id").applyInArrow(run, "batch_id long, start long, len long")
 
 
 def runs(flagged: DataFrame, flag: str = "good") -> DataFrame:
@@ -115,20 +175,21 @@ def diagonal_summary(b: DataFrame) -> DataFrame:
     return ranked.agg(F.min("d").alias("least"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("d").alias("greatest"), F.sum("n").alias("batches"))
 
 
-def morton_sorted(df: DataFrame, bits: int = 21) -> DataFrame:
-    """points with their Morton code within the whole cube."""
-    b = df.agg(*(f(a).alias(f"{n}{a}") for n, f in (("low", F.min), ("high", F.max)) for a in "XYZ"))
+def morton_sorted(df: DataFrame, bits: int = 21, whole: DataFrame | None = None) -> DataFrame:
+    """points with their Morton code within the whole cube; `whole` has the same points, if its coordinates cost less to make."""
+    b = (df if whole is None else whole).agg(*(f(a).alias(f"{n}{a}") for n, f in (("low", F.min), ("high", F.max)) for a in "XYZ"))
     size = F.greatest(*(F.col(f"high{a}") - F.col(f"low{a}") for a in "XYZ"), F.lit(1)).cast("double")
     rows = df.join(F.broadcast(b.select(*(f"low{a}" for a in "XYZ"), size.alias("size"))))  # one row
-    cell = [expr.grid(a, f"low{a}", "size", bits) for a in "XYZ"]
-    return rows.withColumn("morton", expr.morton63(*cell)).drop("lowX", "lowY", "lowZ", "size")
+    rows = expr.once(rows, **{f"_cell{a}": expr.grid(a, f"low{a}", "size", bits) for a in "XYZ"})
+    return rows.withColumn("morton", expr.morton63(*(f"_cell{a}" for a in "XYZ"))).drop("lowX", "lowY", "lowZ", "size", *(f"_cell{a}" for a in "XYZ"))
 
 
 def ordered(df: DataFrame, key: str, batch: int = BATCH) -> DataFrame:
-    """points with their position in the order of (key, point_id), and the batch that this makes."""
+    """points with their position in the order of (key, point_id), and the batch that this makes.  Numbering asks for the rows several times,
+    and may put all their columns in order in files, so give those that are needed only."""
     from ..points import numbered
 
-    return numbered(df, (key, "point_id"), "place").withColumn("batch_id", F.floor(F.col("place") / batch).cast("long"))
+    return numbered(written(df, "unordered"), (key, "point_id"), "place").withColumn("batch_id", F.floor(F.col("place") / batch).cast("long"))
 
 
 def block_shuffled(df: DataFrame, block: int = 128, seed: int = 1) -> DataFrame:
@@ -174,21 +235,34 @@ def discard_outliers(df: DataFrame, k: int) -> DataFrame:
     """Points of each batch without those that differ from the last kept point by a difference that is not among the batch's k most frequent.
 
     Each decision depends on the one before, so a batch is worked through in order by one task; batches are independent."""
-    import pandas as pd
-
-    names = df.columns
-    top = top_symbols(df, k).groupBy("batch_id").agg(F.collect_set("symbol").alias("_top"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id", kind="stable").reset_index(drop=True)
-        good, keep, last = set(pdf["_top"].iloc[0]), [], None
-        for p in zip(pdf["X"].tolist(), pdf["Y"].tolist(), pdf["Z"].tolist()):
-            ok = last is None or all(a - b in good for a, b in zip(p, last))
-            keep.append(ok)
-            last = p if ok else last
-        return pdf[keep][names]
 
-    return df.join(top, "batch_id").groupBy("batch_id").applyInPandas(run, df.schema)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("point_id")
+        found, _, rank, _ = counted(table)
+        keep = kept(np.stack(numbers(table, "X", "Y", "Z"), 1), found[rank < k])
+        return table.filter(pa.array(keep))
+
+    return df.groupBy("batch_id").applyInArrow(run, df.schema)
+
+
+def kept(xyz: np.ndarray, good: np.ndarray, step: int = 16) -> np.ndarray:
+    """Which points are kept: the first, and each that differs from the last kept one by good (sorted) differences only.  From a kept point
+    the next is looked for in pieces that double in size, so that points are compared a few times at most, however far apart they are."""
+    out = np.zeros(len(xyz), bool)
+    at = 0
+    while at < len(xyz):
+        out[at], first, size = True, at + 1, step
+        last, at = xyz[at], len(xyz)
+        while first < len(xyz):
+            hit = np.arange(first, min(first + size, len(xyz)))
+            for axis in range(3):
+                d = xyz[hit, axis] - last[axis]
+                hit = hit[good[np.minimum(np.searchsorted(good, d), len(good) - 1)] == d]
+            if len(hit):
+                at = int(hit[0])
+                break
+            first, size = first + size, 2 * size
+    return out
 
 
 def world_box(lattice_box: DataFrame, scale: float, offset: float) -> DataFrame:

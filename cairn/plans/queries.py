@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..camera import PRESETS
 from ..functions import expr
 from ..operators import compress, layout, nearest, raster, tree
-from ..points import BATCH, BOX, CHAIN, points, raw, world_points
+from ..points import BATCH, BOX, CHAIN, points, raw, source, world_points
 from ..sources import procedural
 from ..streaming import progressive
 from ..workspace import workspace
@@ -110,7 +110,15 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.morton_sorted(world(spark, sf_dir))
+    return layout.morton_sorted(world(spark, sf_dir), whole=raw(spark, sf_dir))
+
+
+def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.deltas(points(spark, sf_dir), rows=source(spark, sf_dir).count())
+
+
+def coded_unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.morton_sorted(raw(spark, sf_dir).select("X", "Y", "Z", "r", "g", "b"))
 
 
 # scans and scalar functions
@@ -288,12 +296,12 @@ def batch_mean_color(spark, sf_dir):
 
 @query(f"with {POINTS}, {DELTAS} select point_id, dx, dy, dz from deltas")
 def chain_delta(spark, sf_dir):
-    return layout.deltas(points(spark, sf_dir)).select("point_id", "dx", "dy", "dz")
+    return differences(spark, sf_dir).select("point_id", "dx", "dy", "dz")
 
 
 @query(f"with {POINTS} select point_id, ix as ux, iy as uy, iz as uz from points")
 def chain_undelta(spark, sf_dir):
-    return layout.undelta(layout.deltas(points(spark, sf_dir))).select("point_id", "ux", "uy", "uz")
+    return layout.undelta(differences(spark, sf_dir)).select("point_id", "ux", "uy", "uz")
 
 
 @query(f"with {POINTS}, {CHAINED} select batch_id, part, min(point_id) as start, count(*) as len from (select *, ntile(7) over (partition by batch_id order by point_id) - 1 as part from chained) group by all")
@@ -306,17 +314,17 @@ def chain_ntile(spark, sf_dir):
 
 @query(f"with {POINTS}, {DELTAS} select batch_id, symbol, n from hist")
 def delta_histogram(spark, sf_dir):
-    return layout.histogram(layout.deltas(points(spark, sf_dir)))
+    return layout.histogram(differences(spark, sf_dir))
 
 
 @query(f"with {POINTS}, {DELTAS} select batch_id, symbol, n, rank from ranked where rank <= 20")
 def delta_top_symbols(spark, sf_dir):
-    return layout.top_symbols(layout.deltas(points(spark, sf_dir)), 20)
+    return layout.top_symbols(differences(spark, sf_dir), 20)
 
 
 @query(f"with {POINTS}, {DELTAS} select batch_id, round(sum(case when rank <= 100 then n else 0 end) / sum(n), 6) as coverage from ranked group by batch_id")
 def delta_topk_coverage(spark, sf_dir):
-    return layout.coverage(layout.deltas(points(spark, sf_dir)), 100).select("batch_id", F.round("coverage", 6).alias("coverage"))
+    return layout.coverage(differences(spark, sf_dir), 100).select("batch_id", F.round("coverage", 6).alias("coverage"))
 
 
 _GOOD = f"{POINTS}, {DELTAS}, good as (select batch_id, point_id, count(t.symbol) = 3 as good from symbols s left join (select batch_id, symbol from ranked where rank <= 500) t using (batch_id, symbol) group by all)"
@@ -324,14 +332,14 @@ _GOOD = f"{POINTS}, {DELTAS}, good as (select batch_id, point_id, count(t.symbol
 
 @query(f"with {_GOOD} select batch_id, count(*) as n, count(*) filter (good) as good from good group by batch_id")
 def delta_good_points(spark, sf_dir):
-    rows = layout.good_points(layout.deltas(points(spark, sf_dir)), 500)
+    rows = layout.good_points(differences(spark, sf_dir), 500)
     return rows.groupBy("batch_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("good"), 1)).alias("good"))
 
 
 @query(f"""with {_GOOD}, islands as (select *, sum(case when good then 0 else 1 end) over (partition by batch_id order by point_id) as island from good)
 select batch_id, min(point_id) as start, count(*) as len from islands where good group by batch_id, island""")
 def delta_runs(spark, sf_dir):
-    return layout.runs(layout.good_points(layout.deltas(points(spark, sf_dir)), 500))
+    return layout.good_runs(differences(spark, sf_dir), 500)
 
 
 _COST = lambda d: f"case when {d} = 0 then 1 else cast(ceil(log2(abs({d}))) as bigint) + 1 end"
@@ -341,7 +349,7 @@ _WIDTH = lambda a: f"case when max(i{a}) - min(i{a}) > 1 then cast(ceil(log2(max
 @query(f"""with {POINTS}, {DELTAS}, cost as (select *, {_COST('dx')} + {_COST('dy')} + {_COST('dz')} as bits from deltas)
 select batch_id, cast(sum(bits) as bigint) as delta_bits, count(*) * ({_WIDTH('x')} + {_WIDTH('y')} + {_WIDTH('z')}) as fixed_bits, count(*) filter (bits > 30) as jumps from cost group by batch_id""")
 def delta_bit_cost(spark, sf_dir):
-    return layout.bit_costs(layout.deltas(points(spark, sf_dir)))
+    return layout.bit_costs(differences(spark, sf_dir))
 
 
 # orders
@@ -349,12 +357,12 @@ def delta_bit_cost(spark, sf_dir):
 
 @query(f"with {POINTS}, {MORTON}, placed as (select point_id, row_number() over (order by morton, point_id) - 1 as place from codes) select point_id, place, place // {BATCH} as batch_id from placed")
 def morton_order(spark, sf_dir):
-    return layout.ordered(coded(spark, sf_dir), "morton").select("point_id", "place", "batch_id")
+    return layout.ordered(coded(spark, sf_dir).select("point_id", "morton"), "morton").select("point_id", "place", "batch_id")
 
 
 @query(f"with {POINTS} select point_id, row_number() over (order by ix, point_id) - 1 as place from points")
 def x_order(spark, sf_dir):
-    return layout.ordered(points(spark, sf_dir), "X").select("point_id", "place")
+    return layout.ordered(points(spark, sf_dir).select("point_id", "X"), "X").select("point_id", "place")
 
 
 @query()
@@ -642,12 +650,12 @@ def stream_octree_counts(spark, sf_dir):
 runs as (select count(*) as len from islands where good group by batch_id, island), n as (select len, count(*) as runs from runs group by len)
 select len, runs, round(sum(len * runs) over (order by len desc) / sum(len * runs) over (), 6) as share from n""")
 def delta_run_shares(spark, sf_dir):
-    return layout.run_shares(layout.runs(layout.good_points(layout.deltas(points(spark, sf_dir)), 500))).withColumn("share", F.round("share", 6))
+    return layout.run_shares(layout.good_runs(differences(spark, sf_dir), 500)).withColumn("share", F.round("share", 6))
 
 
 @query()
 def delta_without_outliers(spark, sf_dir):
-    return layout.discard_outliers(layout.deltas(points(spark, sf_dir)), 500).groupBy("batch_id").agg(F.count("*").alias("kept"))
+    return layout.discard_outliers(differences(spark, sf_dir).select("batch_id", "point_id", "X", "Y", "Z", "dx", "dy", "dz"), 500).groupBy("batch_id").agg(F.count("*").alias("kept"))
 
 
 @query(f"with {POINTS} select " + ", ".join(f"round({f}(i{a}) * 1e-2, 4) as {n}_{a}" for n, f in (("min", "min"), ("max", "max")) for a in "xyz") + " from points")

@@ -10,10 +10,18 @@ from pyspark.sql.window import Window
 COARSE, UNEVEN, MOST_PARTS = 4096, 8, 100_000
 #: Scale and offset of the lattice, points of a batch and of a chain, rows that one task numbers.
 SCALE, OFFSET, BATCH, CHAIN, BUCKET = 0.01, 0.0, 4096, 64, 65536
+#: Rows that a task takes from a shuffle, about.
+TASK_ROWS = 1 << 20
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
 BOX = ("min_x", "min_y", "min_z", "max_x", "max_y", "max_z")
 
 
+def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+    """df(n rows), dealt by a key to tasks of about TASK_ROWS rows: as many tasks as the session has for shuffles, or more."""
+    parts = -(-n // TASK_ROWS)
+    return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(key)
+
+
 def sums_before(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """df(key, value, ..), one row for each key, with the sum of the values of lower keys: within blocks of keys, and over blocks."""
     block = F.floor(F.col(key) / COARSE)
@@ -37,12 +45,12 @@ def numbered(df: DataFrame, order: tuple[str, ...], name: str = "point_id", rows
         return df.withColumn(name, F.lit(0).cast("long"))
     parts = max(1, -(-n // rows))
     bucket = F.coalesce(F.floor((F.col(lead) - F.lit(low)).cast("double") * float(parts) / (float(high - low) + 1.0)), F.lit(-1)).cast("long")
-    dealt = df.withColumn("_bucket", bucket)
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    bucketed = df.withColumn("_bucket", bucket)
+    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     if parts > 1 and sizes.agg(F.max("_n")).first()[0] > UNEVEN * rows:
         return numbered_by_range(df, order, name, min(parts, MOST_PARTS))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return dealt.withColumn("_own", own).join(sums_before(sizes, "_bucket", "_n", "_before").drop("_n"), "_bucket").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_bucket", "_own", "_before")
+    return dealt(bucketed, n, "_bucket").withColumn("_own", own).join(sums_before(sizes, "_bucket", "_n", "_before").drop("_n"), "_bucket").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_bucket", "_own", "_before")
 
 
 def numbered_by_range(df: DataFrame, order: tuple[str, ...], name: str, parts: int) -> DataFrame:
@@ -58,18 +66,27 @@ def numbered_by_range(df: DataFrame, order: tuple[str, ...], name: str, parts: i
     return rows.join(before, "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
 
 
+def source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that points are made from."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*ORDER, "l_quantity")
+
+
+def lattice() -> list[Column]:
+    """X, Y, Z, r, g and b of a source row."""
+    part = lambda name: F.pmod(F.col(name), F.lit(256)).cast("long")
+    return [
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("X"), (F.col("l_quantity").cast("long") * 2000).alias("Y"), (F.col("l_partkey").cast("long") * 50).alias("Z"),
+        part("l_partkey").alias("r"), part("l_suppkey").alias("g"), part("l_orderkey").alias("b")]
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(X, Y, Z, r, g, b) and the columns that put points in order."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*ORDER, "l_quantity")
-    part = lambda name: F.pmod(F.col(name), F.lit(256)).cast("long")
-    return rows.select(
-        *ORDER, F.round(F.col("l_extendedprice") * 100).cast("long").alias("X"), (F.col("l_quantity").cast("long") * 2000).alias("Y"), (F.col("l_partkey").cast("long") * 50).alias("Z"),
-        part("l_partkey").alias("r"), part("l_suppkey").alias("g"), part("l_orderkey").alias("b"))
+    return source(spark, sf_dir).select(*ORDER, *lattice())
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """points(point_id, X, Y, Z, r, g, b), in the order of ORDER."""
-    return numbered(raw(spark, sf_dir), ORDER).select("point_id", "X", "Y", "Z", "r", "g", "b")
+    """points(point_id, X, Y, Z, r, g, b), in the order of ORDER.  Coordinates and colours are made after rows are numbered: fewer columns are shuffled."""
+    return numbered(source(spark, sf_dir), ORDER).select("point_id", *lattice())
 
 
 def world_points(df: DataFrame, scale: float = SCALE, offset: float = OFFSET) -> DataFrame:
