@@ -17,7 +17,7 @@ from ..points import BATCH, BOX, points
 from ..sinks import files
 from ..sources import batchfile, las, octree, procedural
 from ..workspace import workspace
-from .queries import _CAP, _DEEP, BATCHES, CAM, CHAINED, CLOSE, DELTAS, POINTS, QUERIES, SQL, _cull_sql, batches, clip_sql, coded, nearest_sql, number, projected_sql, query, world
+from .queries import _CAP, _DEEP, BATCHES, CAM, CHAINED, CLOSE, DELTAS, POINTS, QUERIES, SQL, _cull_sql, batches, clip_sql, coded, differences, nearest_sql, number, projected_sql, query, world
 
 
 def folder(spark, name: str) -> str:
@@ -161,7 +161,7 @@ def codec_flagged(spark, sf_dir):
         more = top == len(np.unique(v)) or not huffman.fits(v, top + 1)
         return pd.DataFrame({"point_id": pdf["point_id"], "symbol": huffman.decode_flagged(huffman.encode_flagged(v, top), len(v)), "largest": more and huffman.fits(v, top)})
 
-    return layout.deltas(points(spark, sf_dir)).select("batch_id", "point_id", "dx").groupBy("batch_id").applyInPandas(run, "point_id long, symbol long, largest boolean")
+    return differences(spark, sf_dir).select("batch_id", "point_id", "dx").groupBy("batch_id").applyInPandas(run, "point_id long, symbol long, largest boolean")
 
 
 @query(f"with {POINTS} select point_id, 1 + ix % 32 as width, iy & ((1 << (1 + ix % 32)) - 1) as lsb, iy & ((1 << (1 + ix % 32)) - 1) as msb from points")
