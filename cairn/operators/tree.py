@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr
+from ..points import tasks
+from ..workspace import written
+
+#: Codes that are counted together before they are shuffled.
+PIECE = 1 << 18
 
 
 def prefix_counts(df: DataFrame, levels: int, bits: int) -> DataFrame:
@@ -26,13 +33,58 @@ def leaves(counts: DataFrame, capacity: int, levels: int) -> DataFrame:
     return rows.filter(leaf & (F.coalesce("above", F.lit(capacity + 1)) > capacity)).select("level", "prefix", "n")
 
 
-def grown(df: DataFrame, capacity: int, bits: int) -> DataFrame:
+def grown(df: DataFrame, capacity: int, bits: int, rows: int | None = None) -> DataFrame:
     """The nodes of the tree that splits whatever holds more than `capacity` points, as deep as codes of `bits` levels go: the root, and
-    all children of such nodes.  Only points of equal codes stay in overfull leaves."""
-    counts = prefix_counts(df, bits, bits)
-    full = counts.filter(F.col("n") > capacity).select((F.col("level") + 1).alias("level"), F.col("prefix").alias("parent"))
-    below = counts.filter("level > 0").withColumn("parent", F.shiftright("prefix", 3)).join(full, ["level", "parent"]).select("level", "prefix", "n")
-    return counts.filter("level = 0").select("level", "prefix", "n").union(below)
+    all children of such nodes.  Only points of equal codes stay in overfull leaves.
+
+    Equal codes are counted in pieces, then codes are dealt out in ranges and put in order.  A range grows its nodes from the top, and its
+    first and last node of each level, which neighbours may share, as if they were full; these are added up, and their children dropped if
+    they aren't."""
+
+    def count(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b.column(0).to_numpy())
+            n += b.num_rows
+            if n >= PIECE:
+                yield counted(held)
+                held, n = [], 0
+        if n:
+            yield counted(held)
+
+    def counted(held):
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["morton", "n"])
+
+    def grow(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        code, n = (np.concatenate(x) for x in zip(*held))
+        if not len(code):
+            return
+        edge, first, last = np.ones(len(code), bool), code[0], code[-1]  # codes below a node of the level before that may be shared
+        for level in range(bits + 1):
+            prefix = code >> 3 * (bits - level)
+            start = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+            total, shared = np.add.reduceat(n, start), edge[start]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), level)), pa.array(prefix[start]), pa.array(total), pa.array(shared)], ["level", "prefix", "n", "shared"])
+            ends = (prefix[start] == first >> 3 * (bits - level)) | (prefix[start] == last >> 3 * (bits - level))
+            size = np.diff(np.append(start, len(code)))
+            on = np.repeat((total > capacity) | ends, size)
+            code, n, edge = code[on], n[on], np.repeat(ends, size)[on]
+            if not len(code):
+                return
+
+    spark = df.sparkSession
+    codes = df.select(F.col("morton").cast("long").alias("morton"))
+    parts = tasks(spark, codes.count() if rows is None else rows)
+    ordered = codes.mapInArrow(count, "morton long, n long").repartitionByRange(parts, "morton").sortWithinPartitions("morton")
+    nodes = written(ordered.mapInArrow(grow, "level long, prefix long, n long, shared boolean"), "nodes")
+    met = nodes.filter("shared").groupBy("level", "prefix").agg(F.sum("n").alias("n"))  # some for each range and level
+    full = met.filter(F.col("n") > capacity).select((F.col("level") + 1).alias("level"), F.col("prefix").alias("parent"))
+    below = met.filter("level > 0").withColumn("parent", F.shiftright("prefix", 3)).join(full, ["level", "parent"]).select("level", "prefix", "n")
+    return nodes.filter("not shared").select("level", "prefix", "n").union(met.filter("level = 0")).union(below)
 
 
 def names(nodes: DataFrame) -> DataFrame:

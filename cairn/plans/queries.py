@@ -506,7 +506,7 @@ grown as (select c.* from nodes c left join nodes p on p.level = c.level - 1 and
 
 @query(f"with {_DEEP} select * from grown where n <= {_CAP} or level = 21")
 def octree_deep_leaves(spark, sf_dir):
-    return tree.grown(coded(spark, sf_dir), _CAP, 21).filter((F.col("n") <= _CAP) | (F.col("level") == 21))
+    return tree.grown(coded_unnumbered(spark, sf_dir), _CAP, 21, source(spark, sf_dir).count()).filter((F.col("n") <= _CAP) | (F.col("level") == 21))
 
 
 _NAME = "'r' || " + " || ".join(f"case when level >= {i} then cast((prefix >> (3 * greatest(level - {i}, 0))) & 7 as varchar) else '' end" for i in range(1, _LEVELS + 1))
@@ -542,10 +542,10 @@ def lod_per_cell(spark, sf_dir):
 
 @query()
 def octree_view(spark, sf_dir):
-    rows = coded(spark, sf_dir)
-    low = layout.box(points(spark, sf_dir)).first()
+    rows = coded_unnumbered(spark, sf_dir)
+    low = layout.box(raw(spark, sf_dir)).first()
     size = max(low["max_x"] - low["min_x"], low["max_y"] - low["min_y"], low["max_z"] - low["min_z"]) * 0.01
-    boxes = tree.node_boxes(tree.grown(rows, _CAP, 21), tuple(low[f"min_{a}"] * 0.01 for a in "xyz"), size)
+    boxes = tree.node_boxes(tree.grown(rows, _CAP, 21, source(spark, sf_dir).count()), tuple(low[f"min_{a}"] * 0.01 for a in "xyz"), size)
     return tree.visible_nodes(boxes, CLOSE, 0.1).select("level", "prefix", "n", F.round("priority", 5).alias("priority"))
 
 

@@ -16,9 +16,14 @@ ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "
 BOX = ("min_x", "min_y", "min_z", "max_x", "max_y", "max_z")
 
 
+def tasks(spark: SparkSession, n: int) -> int:
+    """Tasks for a shuffle of n rows: about TASK_ROWS rows each, or as many tasks as the session has for shuffles."""
+    return max(-(-n // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
     """df(n rows), dealt by a key to tasks of about TASK_ROWS rows: as many tasks as the session has for shuffles, or more."""
-    parts = -(-n // TASK_ROWS)
+    parts = tasks(df.sparkSession, n)
     return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(key)
 
 
@@ -33,6 +38,29 @@ def sums_before(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return rows.join(coarse, "_block").withColumn(name, F.col("_base") + F.col("_inner")).drop("_block", "_base", "_inner")
 
 
+def sums_in_order(df: DataFrame, order: tuple[str, ...], value: str, name: str, n: int) -> DataFrame:
+    """df(n rows) with the sum of the values of the rows before, in a total order: within sorted ranges of rows, and over ranges."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from .workspace import written
+
+    def run(batches):
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            v = b.column(b.schema.get_field_index(value)).to_numpy()
+            before = total + np.cumsum(v) - v
+            total += int(v.sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(v), part)), pa.array(before.astype(np.int64))], [*b.schema.names, "_part", "_own"])
+
+    parts = tasks(df.sparkSession, n)
+    fields = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
+    rows = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, f"{fields}, _part long, _own long"), "sums")
+    base = sums_before(rows.groupBy("_part").agg(F.sum(value).alias("_sum")), "_part", "_sum", "_base").drop("_sum")
+    return rows.join(F.broadcast(base), "_part").withColumn(name, (F.col("_own") + F.col("_base")).cast("long")).drop("_part", "_own", "_base")  # a row for each range
+
+
 def numbered(df: DataFrame, order: tuple[str, ...], name: str = "point_id", rows: int = BUCKET) -> DataFrame:
     """df with the position of each row, from 0, in a total order that begins with a column of numbers.
 
