@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from ..codec import bits, blocks, huffman
 from ..functions import expr
 from ..operators import compress, layout, raster, tree
-from ..points import BATCH, BOX, points
+from ..points import BATCH, BOX, points, source
 from ..sinks import files
 from ..sources import batchfile, las, octree, procedural
 from ..workspace import workspace
-from .queries import _CAP, _DEEP, BATCHES, CAM, CHAINED, CLOSE, DELTAS, POINTS, QUERIES, SQL, _cull_sql, batches, clip_sql, coded, differences, nearest_sql, number, projected_sql, query, world
+from .queries import _CAP, _DEEP, BATCHES, CAM, CHAINED, CLOSE, DELTAS, POINTS, QUERIES, SQL, _cull_sql, batches, clip_sql, coded_unnumbered, differences, nearest_sql, number, projected_sql, query, world
 
 
 def folder(spark, name: str) -> str:
@@ -95,8 +95,8 @@ select {_OCTREE_NAME} as name, level, n, sx, sr from held""")
 def octree_files(spark, sf_dir):
     """An octree on disk: metadata, hierarchy and byte ranges of its nodes' points."""
     at = folder(spark, "octree")
-    rows = coded(spark, sf_dir)
-    files.write_octree(rows, tree.grown(rows, _CAP, 21), _CAP, 21, at)
+    rows, n = coded_unnumbered(spark, sf_dir), source(spark, sf_dir).count()
+    files.write_octree(rows, tree.grown(rows, _CAP, 21, n), _CAP, 21, at, rows=n)
     nodes = octree.nodes(spark, at).filter(f"node_type <> {octree.PROXY} and num_points > 0")
     held = octree.points(spark, at, nodes).groupBy("name").agg(F.count("*").alias("n"), F.sum("X").alias("sx"), F.sum("r").alias("sr"))
     return nodes.join(held, "name").filter("n = num_points").select("name", F.col("level").cast("long").alias("level"), "n", "sx", "sr")

@@ -57,8 +57,8 @@ def sums_in_order(df: DataFrame, order: tuple[str, ...], value: str, name: str,
     parts = tasks(df.sparkSession, n)
     fields = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
     rows = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, f"{fields}, _part long, _own long"), "sums")
-    base = sums_before(rows.groupBy("_part").agg(F.sum(value).alias("_sum")), "_part", "_sum", "_base").drop("_sum")
-    return rows.join(F.broadcast(base), "_part").withColumn(name, (F.col("_own") + F.col("_base")).cast("long")).drop("_part", "_own", "_base")  # a row for each range
+    base = sums_before(rows.groupBy("_part").agg(F.sum(value).alias("_total")), "_part", "_total", "_from").drop("_total")
+    return rows.join(F.broadcast(base), "_part").withColumn(name, (F.col("_own") + F.col("_from")).cast("long")).drop("_part", "_own", "_from")  # a row for each range
 
 
 def numbered(df: DataFrame, order: tuple[str, ...], name: str = "point_id", rows: int = BUCKET) -> DataFrame:

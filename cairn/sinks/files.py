@@ -9,12 +9,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..camera import Camera
 from ..functions import expr
 from ..operators import layout
+from ..points import sums_in_order, tasks
+from ..sources.octree import PROXY, RECORD
+from ..workspace import written
+
+#: Levels of a chunk of an octree's hierarchy; tasks that copy pieces of a file into place.
+STEP, MOST_COPIERS = 4, 64
 
 
 def las_header(n: int, scale, offset, low, high, version: int = 2) -> bytes:
@@ -101,39 +107,101 @@ def write_workgroups(points: DataFrame, path: str, size: int) -> None:
     layout.running_offsets(own).write.parquet(f"{path}/batches")
 
 
-def write_octree(coded: DataFrame, grown: DataFrame, capacity: int, levels: int, path: str, scale: float = 0.01) -> None:
-    """An octree on disk: leaves of grown(level, prefix, n) hold points of coded(morton, X, Y, Z, r, g, b).  Records of nodes are laid out on
-    the driver; points pass through it a batch at a time, in the order of their codes, which is the order of the leaves."""
-    from ..sources.octree import RECORD
-
-    digits = lambda level, prefix: [prefix >> 3 * (level - i) & 7 for i in range(1, level + 1)]
-    name = lambda level, prefix: "".join(str((d & 1) << 2 | d & 2 | d >> 2) for d in digits(level, prefix))  # noqa: E731  bit 2 is x on disk
-    rows = {name(r["level"], r["prefix"]): r for r in grown.collect()}
-    leaf = {k: r for k, r in rows.items() if r["n"] <= capacity or r["level"] == levels}
-    at, start = 0, {}
-    for k, r in sorted(leaf.items(), key=lambda x: x[1]["prefix"] << 3 * (levels - x[1]["level"])):
-        start[k], at = at, at + 18 * r["n"]
-    order, out = [""], b""
-    for k in order:  # level by level, children after their parents
-        children = [c for c in range(8) if f"{k}{c}" in rows]
-        order += [f"{k}{c}" for c in children]
-        n = rows[k]["n"] if k in leaf else 0
-        out += RECORD.pack(1 if k in leaf else 0, sum(1 << c for c in children), n, start.get(k, 0), 18 * n)
+def put_together(spark: SparkSession, pieces: list[tuple[str, int]], target: str, size: int) -> None:
+    """A file made of pieces (path, offset), which are copied into place side by side and then removed.  The target may begin with bytes of
+    its own."""
+    with open(target, "r+b" if os.path.exists(target) else "wb") as f:
+        f.truncate(size)
+
+    def run(batches):
+        for b in batches:
+            for path, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with open(path, "rb") as piece, open(target, "r+b") as f:
+                    f.seek(at)
+                    while part := piece.read(4 << 20):
+                        f.write(part)
+                yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    if pieces:
+        for r in spark.createDataFrame(pieces, "path string, at long").repartition(min(len(pieces), MOST_COPIERS)).mapInArrow(run, "path string").collect():
+            os.remove(r["path"])
+
+
+def write_octree(coded: DataFrame, grown: DataFrame, capacity: int, levels: int, path: str, scale: float = 0.01, rows: int | None = None) -> None:
+    """An octree on disk: leaves of grown(level, prefix, n) hold points of coded(morton, X, Y, Z, r, g, b), which are in the order of their
+    codes, and so of the leaves.  Ranges of points are written side by side and put together.  The hierarchy is in chunks of STEP levels
+    each; a node whose children lie in the next chunk is a proxy there.  The folder is one that all executors mount."""
+    spark = coded.sparkSession
+    n = coded.count() if rows is None else rows
+    target = os.path.join(path, "octree.bin")
+    kind = np.dtype([("xyz", "<i4", 3), ("rgb", "<u2", 3)])
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        t = TaskContext.get()
+        own, total = f"{target}.{t.partitionId():05d}.{t.taskAttemptId()}", 0
+        with open(own, "wb") as f:
+            for b in batches:
+                out = np.empty(b.num_rows, kind)
+                for i, a in enumerate("XYZ"):
+                    out["xyz"][:, i] = b.column(b.schema.get_field_index(a)).to_numpy()
+                for i, a in enumerate("rgb"):
+                    out["rgb"][:, i] = b.column(b.schema.get_field_index(a)).to_numpy()
+                f.write(out.tobytes())
+                total += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([t.partitionId()]), pa.array([own]), pa.array([total])], ["part", "path", "n"])
+
+    # rows of equal codes may lie in several ranges, so that no task takes more than its share
+    rows_of = coded.select("morton", "X", "Y", "Z", "r", "g", "b", F.monotonically_increasing_id().alias("_tie"))
+    ordered = rows_of.repartitionByRange(tasks(spark, n), "morton", "_tie").sortWithinPartitions("morton").select("X", "Y", "Z", "r", "g", "b")
+    at, pieces = 0, []
+    for r in sorted(ordered.mapInArrow(write, "part long, path string, n long").collect()):
+        pieces.append((r["path"], at))
+        at += 18 * r["n"]
+    put_together(spark, pieces, target, at)
+
+    # nodes: first byte, bits of children, chunk; digits have bit 2 for x on disk
+    full = (F.col("n") > capacity) & (F.col("level") < levels)
+    swapped = lambda v: F.shiftleft(v.bitwiseAND(F.lit(0o111111111111111111111)), 2).bitwiseOR(v.bitwiseAND(F.lit(0o222222222222222222222))).bitwiseOR(F.shiftright(v.bitwiseAND(F.lit(0o444444444444444444444)), 2))
+    nodes = written(grown.select("level", "prefix", "n", full.alias("full")), "grown")
+    leaf = nodes.filter("not full").select("level", "prefix", "n", F.expr(f"shiftleft(prefix, cast(3 * ({levels} - level) as int))").alias("_code"))
+    count = nodes.count()
+    start = sums_in_order(leaf, ("_code",), "n", "before", count).select("level", "prefix", (F.col("before") * 18).alias("start"))
+    parent = nodes.filter("level > 0").groupBy((F.col("level") - 1).alias("level"), F.shiftright("prefix", 3).alias("prefix"))
+    mask = parent.agg(F.expr("cast(sum(shiftleft(1, cast((prefix & 1) * 4 + (prefix & 2) + (shiftright(prefix, 2) & 1) as int))) as long)").alias("mask"))
+    rows_of = nodes.join(start, ["level", "prefix"], "left").join(mask, ["level", "prefix"], "left").select("level", "prefix", swapped(F.col("prefix")).alias("place"), "full", F.when(F.col("full"), 0).otherwise(F.col("n")).alias("n"), F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("mask", F.lit(0)).alias("mask"))
+    in_parent = F.expr(f"if(level = 0, 0L, (level - 1) div {STEP} * {STEP})")  # the level of the chunk's root
+    top = lambda level: F.expr(f"shiftright(prefix, cast(3 * (level - ({level})) as int))")
+    listed = written(rows_of.withColumn("root", in_parent).withColumn("chunk", top("root")).withColumn("proxy", F.expr(f"full and level > 0 and level % {STEP} = 0")), "hierarchy")
+    first = listed.filter("proxy").select("level", "prefix", "place", "full", "n", "start", "mask", F.col("level").alias("root"), F.col("prefix").alias("chunk"), F.lit(False).alias("proxy"))
+    listed = listed.unionByName(first)
+    sizes = sums_in_order(listed.groupBy("root", "chunk").agg((F.count("*") * RECORD.size).alias("bytes")), ("root", "chunk"), "bytes", "offset", count)
+    sizes = written(sizes, "chunks")
+    own = listed.join(sizes, ["root", "chunk"])
+    there = sizes.select(F.col("root").alias("level"), F.col("chunk").alias("prefix"), F.lit(True).alias("proxy"), F.col("bytes").alias("to_bytes"), F.col("offset").alias("to_offset"))
+    own = own.join(there, ["level", "prefix", "proxy"], "left")
+    head, form = os.path.join(path, "hierarchy.bin"), RECORD.format
+    with open(head, "wb") as f:
+        f.truncate(sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
+
+    def chunk(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("level", "ascending"), ("place", "ascending")])
+        c = {k: table.column(k).to_pylist() for k in table.column_names}
+        out = b"".join(
+            struct.pack(form, PROXY, mask, n, to, size) if proxy else struct.pack(form, 0 if full else 1, mask, n, start, 18 * n)
+            for mask, n, start, full, proxy, to, size in zip(*(c[k] for k in ("mask", "n", "start", "full", "proxy", "to_offset", "to_bytes"))))
+        with open(head, "r+b") as f:
+            f.seek(c["offset"][0])
+            f.write(out)
+        return pa.table({"root": c["root"][:1], "bytes": [len(out)]})
+
+    done = own.groupBy("root", "chunk").applyInArrow(chunk, "root long, bytes long").filter("root = 0").collect()
     box = coded.agg(*(f(a).alias(f"{m}_{a}") for m, f in (("min", F.min), ("max", F.max)) for a in "XYZ")).first()
     low, size = [box[f"min_{a}"] * scale for a in "XYZ"], max(box[f"max_{a}"] - box[f"min_{a}"] for a in "XYZ") * scale
-    meta = {"points": at // 18, "spacing": size / 128, "scale": [scale] * 3, "offset": [0.0] * 3, "boundingBox": {"min": low, "max": [v + size for v in low]}, "hierarchy": {"firstChunkSize": len(out)}, "attributes": [{"name": "position", "size": 12}, {"name": "rgb", "size": 6}]}
-    for file, data in (("metadata.json", json.dumps(meta).encode()), ("hierarchy.bin", out)):
-        with open(os.path.join(path, file), "wb") as f:
-            f.write(data)
-    kind = np.dtype([("xyz", "<i4", 3), ("rgb", "<u2", 3)])
-    with open(os.path.join(path, "octree.bin"), "wb") as f:
-        part = []
-        for r in coded.orderBy("morton").select("X", "Y", "Z", "r", "g", "b").toLocalIterator():
-            part.append((r[:3], r[3:]))
-            if len(part) == 1 << 16:
-                f.write(np.array(part, kind).tobytes())
-                part = []
-        f.write(np.array(part, kind).tobytes())
+    meta = {"points": at // 18, "spacing": size / 128, "scale": [scale] * 3, "offset": [0.0] * 3, "boundingBox": {"min": low, "max": [v + size for v in low]}, "hierarchy": {"firstChunkSize": done[0]["bytes"]}, "attributes": [{"name": "position", "size": 12}, {"name": "rgb", "size": 6}]}
+    with open(os.path.join(path, "metadata.json"), "w", encoding="utf-8") as f:
+        json.dump(meta, f)
 
 
 def image_of(fb: DataFrame, cam: Camera, background: int = 0x443322) -> np.ndarray:
