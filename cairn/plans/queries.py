@@ -566,8 +566,7 @@ def knn_embeddings(spark, sf_dir):
 where distance < 125e-2 group by 1""")
 def radius_embeddings(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    rows = nearest.radius(v, v.filter("vec_id % 100 = 0"), 1.25)
-    return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.min("distance"), 6).alias("least"))
+    return nearest.radius_summary(v, v.filter("vec_id % 100 = 0"), 1.25).withColumn("least", F.round("least", 6))
 
 
 @query(f"""with {POINTS}, c as (select point_id, wx, wy, wz, cast(floor(wx / 3e1) as bigint) as cx, cast(floor(wy / 3e1) as bigint) as cy, cast(floor(wz / 3e1) as bigint) as cz from world),
