@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..codec import bits, blocks, huffman
 from ..functions import expr
 from ..operators import compress, layout, raster, tree
-from ..points import BATCH, BOX, points, source
+from ..points import BATCH, BOX, dealt, points, source
 from ..sinks import files
 from ..sources import batchfile, las, octree, procedural
 from ..workspace import workspace
@@ -35,7 +35,7 @@ def folder(spark, name: str) -> str:
 def las_sorted(spark, sf_dir):
     """Points as LAS files in the order of a coordinate, read in ranges."""
     at = folder(spark, "las")
-    files.write_las(points(spark, sf_dir), at, ["X", "point_id"])
+    files.write_las(points(spark, sf_dir), at, ["X", "point_id"], rows=source(spark, sf_dir).count())
     return las.read(spark, at, chunk=1000).select("point_id", *(F.col(a.upper()).cast("long").alias(f"i{a}") for a in "xyz"), *(F.col(c).cast("long").alias(c) for c in "rgb"))
 
 
@@ -43,7 +43,7 @@ def las_sorted(spark, sf_dir):
 def las_doubles(spark, sf_dir):
     """Points of LAS 1.4 files as doubles with packed colours, by the scale and offset of the header."""
     at = folder(spark, "las14")
-    files.write_las(points(spark, sf_dir), at, ["Y", "point_id"], version=4)
+    files.write_las(points(spark, sf_dir), at, ["Y", "point_id"], version=4, rows=source(spark, sf_dir).count())
     h = las.parse_header(las.read_range(las.files_of(at)[0], 0, las.HEADER_BYTES))
     rows = las.read(spark, at).select(*(expr.world(a.upper(), h[f"s{a}"], h[f"o{a}"]).alias(f"w{a}") for a in "xyz"), expr.pack_rgb("r", "g", "b").alias("rgb"))
     return rows.agg(F.count("*").alias("n"), *(F.round(F.sum(f"w{a}"), 2).alias(f"s{a}") for a in "xyz"), F.sum("rgb").cast("long").alias("colors"))
@@ -53,7 +53,7 @@ def las_doubles(spark, sf_dir):
 def las_folder_box(spark, sf_dir):
     """The headers of a folder of LAS files, as one box."""
     at = folder(spark, "boxes")
-    files.write_las(points(spark, sf_dir), at, ["point_id"])
+    files.write_las(points(spark, sf_dir), at, ["point_id"], rows=source(spark, sf_dir).count())
     return las.total_box(las.headers(spark, at)).select("num_points", *(F.round(c, 4).alias(c) for c in BOX))
 
 
@@ -61,7 +61,7 @@ def las_folder_box(spark, sf_dir):
 def las_planes(spark, sf_dir):
     """Points of LAS files, in batches with their box, as 10-10-10 planes."""
     at = folder(spark, "planes")
-    files.write_las(points(spark, sf_dir), at, ["point_id"])
+    files.write_las(points(spark, sf_dir), at, ["point_id"], rows=source(spark, sf_dir).count())
     rows = las.read(spark, at).select("point_id", *(F.col(a).cast("long").alias(a) for a in "XYZ"))
     rows = rows.withColumns({f"w{a}": expr.world(a.upper(), 0.01, 0.0) for a in "xyz"})
     rows = layout.chained(rows).join(layout.batches(rows), "batch_id")
@@ -73,7 +73,7 @@ def las_planes(spark, sf_dir):
 @query(f"with {POINTS} select point_id, ix, iy, iz from points where point_id < 100")
 def las_crop(spark, sf_dir):
     at = folder(spark, "whole")
-    first = files.write_las(points(spark, sf_dir), at, ["point_id"])[0]
+    first = files.write_las(points(spark, sf_dir), at, ["point_id"], rows=source(spark, sf_dir).count())[0]
     target = folder(spark, "cropped") + "/crop.las"
     files.crop_las(first, target, 100)
     return las.read(spark, target).select("point_id", *(F.col(a.upper()).cast("long").alias(f"i{a}") for a in "xyz"))
@@ -115,7 +115,9 @@ s as (select points.*, {', '.join(f"cast(least(65535, greatest(0, floor(65536e0
 def workgroup_points(spark, sf_dir):
     at = folder(spark, "workgroups") + "/out"
     files.write_workgroups(points(spark, sf_dir), at, BATCH)
-    return spark.read.parquet(f"{at}/positions").select("point_id", "word").join(spark.read.parquet(f"{at}/colors").select("point_id", "rgb"), "point_id")
+    n = source(spark, sf_dir).count()
+    positions, colors = (dealt(spark.read.parquet(f"{at}/{t}").select("point_id", c), n, "point_id") for t, c in (("positions", "word"), ("colors", "rgb")))
+    return positions.join(colors, "point_id")
 
 
 @query(f"""with {POINTS}, {projected_sql(CAM)}, {nearest_sql()} select i.pixel_id, cast(coalesce(rgb, {raster.BACKGROUND}) as bigint) as rgb, depth is not null as hit

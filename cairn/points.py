@@ -78,7 +78,7 @@ def numbered(df: DataFrame, order: tuple[str, ...], name: str = "point_id", rows
     if parts > 1 and sizes.agg(F.max("_n")).first()[0] > UNEVEN * rows:
         return numbered_by_range(df, order, name, min(parts, MOST_PARTS))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return dealt(bucketed, n, "_bucket").withColumn("_own", own).join(sums_before(sizes, "_bucket", "_n", "_before").drop("_n"), "_bucket").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_bucket", "_own", "_before")
+    return dealt(bucketed, n, "_bucket").withColumn("_own", own).join(F.broadcast(sums_before(sizes, "_bucket", "_n", "_before").drop("_n")), "_bucket").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_bucket", "_own", "_before")
 
 
 def numbered_by_range(df: DataFrame, order: tuple[str, ...], name: str, parts: int) -> DataFrame:
@@ -91,7 +91,7 @@ def numbered_by_range(df: DataFrame, order: tuple[str, ...], name: str, parts: i
     df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_part": F.shiftright(place, 33), "_own": place.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
     rows = spark.read.parquet(path)
     before = sums_before(rows.groupBy("_part").agg(F.count("*").alias("_n")), "_part", "_n", "_before").drop("_n")
-    return rows.join(before, "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
+    return rows.join(F.broadcast(before), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,9 +46,10 @@ def records(xyz: np.ndarray, rgb: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def write_las(points: DataFrame, folder: str, order: list[str], scale=(0.01,) * 3, offset=(0.0,) * 3, version: int = 2) -> list[str]:
+def write_las(points: DataFrame, folder: str, order: list[str], scale=(0.01,) * 3, offset=(0.0,) * 3, version: int = 2, rows: int | None = None) -> list[str]:
     """points as LAS files, one for each task, that are in order as a whole: sort by a Morton code, a coordinate or a hash.  The folder is
-    one that all executors mount.  A task writes under a name of its attempt and moves the file into place, so that a lost task leaves none."""
+    one that all executors mount.  A task writes under a name of its attempt and moves the file into place, so that a lost task leaves none.
+    With the number of rows, tasks are of a bounded number."""
     os.makedirs(folder, exist_ok=True)
 
     def run(batches):
@@ -72,7 +73,7 @@ def write_las(points: DataFrame, folder: str, order: list[str], scale=(0.01,) *
         else:
             os.remove(own)
 
-    parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = tasks(points.sparkSession, rows or 0)
     rows = points.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("X", "Y", "Z", "r", "g", "b")
     return sorted(r["path"] for r in rows.mapInArrow(run, "path string, n long").collect())
 
@@ -98,7 +99,8 @@ def crop_las(source: str, target: str, n: int) -> int:
 
 
 def write_workgroups(points: DataFrame, path: str, size: int) -> None:
-    """Three tables: batches with box, mean colour and offset; positions as 48-bit words within the whole box; colours."""
+    """Three tables: batches with box, mean colour and offset; positions as 48-bit words within the whole box; colours.  Points are made once."""
+    points = written(points.select("point_id", "X", "Y", "Z", "r", "g", "b"), "points")
     box = layout.box(points).select(*(f"min_{a}" for a in "xyz"), F.greatest(*(F.col(f"max_{a}") - F.col(f"min_{a}") for a in "xyz"), F.lit(1)).cast("double").alias("size"))
     rows = layout.chained(points, size).join(F.broadcast(box))  # one row
     rows.select("point_id", "batch_id", expr.pack16(*(expr.grid(a.upper(), f"min_{a}", "size", 16) for a in "xyz")).alias("word")).write.parquet(f"{path}/positions")
@@ -123,7 +125,8 @@ def put_together(spark: SparkSession, pieces: list[tuple[str, int]], target: str
                 yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
 
     if pieces:
-        for r in spark.createDataFrame(pieces, "path string, at long").repartition(min(len(pieces), MOST_COPIERS)).mapInArrow(run, "path string").collect():
+        table = pa.table({"path": [p for p, _ in pieces], "at": [at for _, at in pieces]})
+        for r in spark.createDataFrame(table).repartition(min(len(pieces), MOST_COPIERS)).mapInArrow(run, "path string").collect():
             os.remove(r["path"])
 
 

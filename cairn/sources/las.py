@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 #: Byte offsets of colours in the records of point formats (fixed values of the format); other formats have none.
 COLOR_AT = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 HEADER_BYTES = 375
-#: Points that one task reads.
-CHUNK = 1 << 20
+#: Points that one task reads; tasks from which on small chunks share one.
+CHUNK, TASKS = 1 << 20, 64
 HEADER = "path string, version_major int, version_minor int, offset_to_points long, point_format int, record_length int, num_points long, sx double, sy double, sz double, ox double, oy double, oz double, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
 POINTS = "file_id int, point_id long, X int, Y int, Z int, r int, g int, b int"
 
@@ -88,14 +88,17 @@ class LasReader(DataSourceReader):
         self.first, self.limit = int(options.get("first", 0)), int(options.get("points", 1 << 62))
 
     def partitions(self) -> list[InputPartition]:
-        out, base = [], 0
+        found, base = [], 0
         for i, f in enumerate(files_of(self.path)):
             h = parse_header(read_range(f, 0, HEADER_BYTES), f)
             there = (os.path.getsize(f) - h["offset_to_points"]) // h["record_length"]
             end = min(h["num_points"], there, self.first + self.limit)
-            out += [Range(i, h, a, min(self.chunk, end - a), base) for a in range(self.first, end, self.chunk)]
+            found.append((i, h, end, base))
             base += min(h["num_points"], there)
-        return out
+        # small chunks are read one after the other by a task, up to CHUNK points, once there are enough tasks
+        chunks = sum(max(0, -(-(end - self.first) // self.chunk)) for _, _, end, _ in found)
+        step = self.chunk * max(1, min(CHUNK // self.chunk, -(-chunks // TASKS)))
+        return [Range(i, h, a, min(step, end - a), base) for i, h, end, base in found for a in range(self.first, end, step)]
 
     def read(self, p: Range) -> Iterator[pa.RecordBatch]:
         h = p.header
@@ -106,7 +109,8 @@ class LasReader(DataSourceReader):
 
 class LasSource(DataSource):
     """spark.read.format("las").option("chunk", n).load(path): points of one or many files on a file system that all executors mount.
-    point_id counts through all files.  Options first and points take a range of each file."""
+    point_id counts through all files.  Options first and points take a range of each file.  A chunk isn't divided between tasks, but a task
+    may read several."""
 
     @classmethod
     def name(cls) -> str:
