@@ -79,8 +79,9 @@ def nodes(spark: SparkSession, path: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names)
 
     rows = [(*c, False) for c in single] + [(*c, True) for c in waiting]
+    table = pa.table(dict(zip(("name", "box", "at", "size", "below"), zip(*rows))))
     parts = min(len(rows), max(WAITING, spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame(rows, "name string, box array<double>, at long, size long, below boolean").repartition(parts).mapInArrow(run, NODES)
+    return spark.createDataFrame(table).repartition(parts).mapInArrow(run, NODES)
 
 
 def points(spark: SparkSession, path: str, node_rows: DataFrame | None = None) -> DataFrame:
