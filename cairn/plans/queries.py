@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..camera import PRESETS
 from ..functions import expr
 from ..operators import compress, layout, nearest, raster, tree
-from ..points import BATCH, BOX, CHAIN, points, raw, source, world_points
+from ..points import BATCH, BOX, CHAIN, points, raw, source, tasks, world_points
 from ..sources import procedural
 from ..streaming import progressive
 from ..workspace import workspace
@@ -625,8 +625,9 @@ def bc1_decode(spark, sf_dir):
 
 def _stream(spark, sf_dir, result) -> DataFrame:
     folder, name = workspace(spark, "arriving"), f"stream_{uuid.uuid4().hex}"
-    points(spark, sf_dir).repartitionByRange(4, "point_id").write.parquet(folder)
-    q = progressive.run(result(progressive.arriving(spark, folder)), name, checkpoint=workspace(spark, "progress"))
+    parts = 4 * -(-tasks(spark, source(spark, sf_dir).count()) // 4)  # files of a bounded number of points, which arrive in four steps
+    points(spark, sf_dir).repartitionByRange(parts, "point_id").write.parquet(folder)
+    q = progressive.run(result(progressive.arriving(spark, folder, parts // 4)), name, checkpoint=workspace(spark, "progress"))
     q.awaitTermination()
     return spark.table(name)
 

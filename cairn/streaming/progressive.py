@@ -26,10 +26,10 @@ def image(stream: DataFrame, cam: Camera) -> DataFrame:
 
 
 def node_counts(stream: DataFrame, low: tuple[float, float, float], size: float, levels: int) -> DataFrame:
-    """Points below each octree node so far."""
-    cell = [expr.grid(a, float(v), float(size), 21) for a, v in zip("XYZ", low)]
-    rows = stream.select(expr.morton63(*cell).alias("morton"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-    return rows.groupBy(F.col("level").cast("long").alias("level"), F.expr("shiftright(morton, 3 * (21 - level))").alias("prefix")).agg(F.count("*").alias("n"))
+    """Points below each octree node so far.  Codes are made once a point, not once a level, and end at the deepest level."""
+    rows = expr.once(stream, **{f"_cell{a}": F.shiftright(expr.grid(a, float(v), float(size), 21), 21 - levels) for a, v in zip("XYZ", low)})
+    rows = expr.once(rows, _code=expr.morton63(*(f"_cell{a}" for a in "XYZ"))).select("_code", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    return rows.groupBy(F.col("level").cast("long").alias("level"), F.expr(f"shiftright(_code, 3 * ({levels} - level))").alias("prefix")).agg(F.count("*").alias("n"))
 
 
 def run(result: DataFrame, name: str, each: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None):
